@@ -612,7 +612,7 @@ def vec_knn(c):
 # trees --------------------------------------------------------------------------------------------------------------
 
 _TREE = Tree("id", "parent", "lft", "rght", "depth")
-_PARENTS = "SELECT r_regionkey + 1 AS id, NULL::BIGINT AS parent FROM region UNION ALL SELECT 100 + n_nationkey, n_regionkey + 1 FROM nation UNION ALL SELECT 1000 + s_suppkey, 100 + s_nationkey FROM supplier"
+_PARENTS = "SELECT (r_regionkey + 1)::BIGINT AS id, NULL::BIGINT AS parent FROM region UNION ALL SELECT (100 + n_nationkey)::BIGINT, (n_regionkey + 1)::BIGINT FROM nation UNION ALL SELECT 1000 + s_suppkey, (100 + s_nationkey)::BIGINT FROM supplier"
 _RECURSIVE = f"""WITH RECURSIVE t AS MATERIALIZED ({_PARENTS}), p AS (SELECT id, parent, 0 AS depth, lpad(id::VARCHAR, 9, '0') AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, p.depth + 1, p.path || '/' || lpad(t.id::VARCHAR, 9, '0') FROM t JOIN p ON t.parent = p.id),
 o AS (SELECT *, row_number() OVER (ORDER BY path) AS place FROM p),
 s AS (SELECT a.id, a.parent, a.depth, 2 * a.place - a.depth - 1 AS lft, 2 * a.place - a.depth - 1 + 2 * (SELECT count(*) FROM p b WHERE starts_with(b.path, a.path || '/')) + 1 AS rght, path FROM o a)"""
