@@ -30,14 +30,9 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably; a lost executor costs no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Like ``cut``, but as compressed Parquet, whose size the planner knows."""
+    """``df`` as compressed Parquet in the shared folder: its lineage is cut, its size is known to the planner, and a lost
+    executor costs no recomputation of what came before."""
     path = shared_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

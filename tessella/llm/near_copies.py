@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import narrow, positional, row_key, rows_of, stored
 from tessella.llm.decontaminate import WordHashes
-from tessella.llm.simhash_dedup import components, fingerprint
+from tessella.llm.simhash_dedup import components, fingerprint, spanning_forest
 
 RADIUS = 12
 SIMILAR = 0.8
@@ -108,21 +108,6 @@ def linked_groups(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(dict.fromkeys(out))
 
 
-def spanning_forest(ii: np.ndarray, jj: np.ndarray, n: int) -> list[tuple[int, int]]:
-    label = np.arange(n)
-    while len(ii):
-        low = np.minimum(label[ii], label[jj])
-        new = label.copy()
-        np.minimum.at(new, ii, low)
-        np.minimum.at(new, jj, low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    at = np.nonzero(label != np.arange(n))[0]
-    return list(zip(at.tolist(), label[at].tolist(), strict=True))
-
-
 def _links(nodes: DataFrame) -> DataFrame:
     """Links a, b between ids of nodes. nodes: id, node."""
     size = F.when(F.element_at("node", 2) > 0, F.floor(F.log(F.element_at("node", 2).cast("double")) / math.log(1 / SIMILAR) + 1e-9)).otherwise(-2)

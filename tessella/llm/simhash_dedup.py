@@ -82,12 +82,9 @@ def _near_cells(radius: int) -> list[tuple[int, ...]]:
     return [d for d in near if d >= (0, 0, 0, 0)]
 
 
-def linked_forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Index pairs (i of a, j of b followed on from a's) that span the same components as all links between a and b."""
-    apart = np.bitwise_count(a[:, None] ^ b[None, :])
-    ii, jj = np.nonzero(apart <= radius)
-    jj = jj + len(a)
-    label = np.arange(len(a) + len(b))
+def spanning_forest(ii: np.ndarray, jj: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Pairs that span the components of the links ii, jj among n nodes: each node and the least one that it reaches."""
+    label = np.arange(n)
     while len(ii):
         low = np.minimum(label[ii], label[jj])
         new = label.copy()
@@ -97,10 +94,16 @@ def linked_forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int,
         if np.array_equal(new, label):
             break
         label = new
-    at = np.nonzero(label != np.arange(len(label)))[0]
+    at = np.nonzero(label != np.arange(n))[0]
     return list(zip(at.tolist(), label[at].tolist(), strict=True))
 
 
+def linked_forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Index pairs (of a, followed by b) that span the same components as all links between a and b."""
+    ii, jj = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+    return spanning_forest(ii, jj + len(a), len(a) + len(b))
+
+
 def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     """Links a, b (fingerprints) that span the components of all pairs at the radius or nearer. nodes: distinct fp."""
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF))) for q in range(4)]
