@@ -73,6 +73,13 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], changes: dict[str
     return table.unionByName(fresh, allowMissingColumns=True)
 
 
+def upsert_returning(table: DataFrame, rows: DataFrame, keys: list[str], changes: dict[str, Any] | None = None, where: Column | None = None, check: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows inserted or changed, as they are now, too."""
+    new = upsert(table, rows, keys, changes, where, check)
+    stays = table.join(rows.select(*keys), keys, "left_semi") if not changes else table.join(rows.select(*keys), keys, "left_semi").where(~_true(where))
+    return new, new.join(rows.select(*keys), keys, "left_semi").join(stays.select(*keys), keys, "left_anti").select(*new.columns)
+
+
 def bulk_insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     """One distributed write takes the place of chunks."""
     return insert(table, rows)

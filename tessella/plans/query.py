@@ -432,6 +432,12 @@ def from_range(catalog: Catalog, start: int, stop: int, step: int = 1, alias: st
     return Select(catalog, catalog.spark.range(start, stop + (1 if step > 0 else -1), step).toDF(column), alias)
 
 
+def from_function(catalog: Catalog, name: str, *arguments: Column, alias: str = "f", columns: list[str] | None = None) -> Select:
+    """A table-valued function of Spark by name, such as explode, json_tuple or stack."""
+    frame = getattr(catalog.spark.tvf, name)(*arguments)
+    return Select(catalog, frame.toDF(*columns) if columns else frame, alias)
+
+
 def scalar(query: Select) -> Expr:
     """The one value of a subquery that doesn't depend on the outer query."""
     return Expr(lambda s: query.to_df().scalar(), frozenset(), f"scalar({id(query)})", name="scalar")
@@ -448,4 +454,4 @@ def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], levels:
     raise RecursionError(f"not done after {levels} levels")
 
 
-__all__ = ["Include", "Join", "Relation", "Scope", "Select", "from_named", "from_range", "from_subquery", "recursive", "scalar", "select_from"]
+__all__ = ["Include", "Join", "Relation", "Scope", "Select", "from_function", "from_named", "from_range", "from_subquery", "recursive", "scalar", "select_from"]

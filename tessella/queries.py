@@ -15,7 +15,7 @@ from tessella.operators import dml, validate
 from tessella.operators.tree import Tree
 from tessella.plans.filters import apply_filter
 from tessella.plans.paging import cursor_query, encode_cursor, page_query
-from tessella.plans.query import Include, Select, from_named, from_range, from_subquery, scalar, select_from
+from tessella.plans.query import Include, Select, from_function, from_named, from_range, from_subquery, scalar, select_from
 from tessella.plans.relations import lazy_relation, morph_owner
 from tessella.schema import morph_to
 from tessella.streaming import windows
@@ -84,6 +84,11 @@ def table_function_range(c):
     return from_range(c, 1, 20).select(n=col("series.value"), square=mul(col("series.value"), col("series.value")))
 
 
+@_query("SELECT unnest([3, 1, 2]) AS value")
+def table_function(c):
+    return from_function(c, "explode", F.array(F.lit(3), F.lit(1), F.lit(2)), columns=["value"])
+
+
 @_query("SELECT vec_id, round(u::DOUBLE, 6) AS x, i::INT AS i FROM (SELECT vec_id, unnest(embedding[1:3]) AS u, unnest([1, 2, 3]) AS i FROM embeddings WHERE vec_id < 64)")
 def unnest_ordinality(c):
     q = select_from(c, "embeddings").where(lt(col("embeddings.vec_id"), 64)).lateral(lambda s: F.slice(col("embeddings.embedding").build(s), 1, 3), "u", ("x", "i"), True)
@@ -648,6 +653,47 @@ def tree_descendants(c):
     return _TREE.descendants(t, (r["lft"], r["rght"])).select("id")
 
 
+@_query(_RECURSIVE + " SELECT id FROM s WHERE lft >= (SELECT lft FROM s WHERE id = 3) AND rght <= (SELECT rght FROM s WHERE id = 3)")
+def tree_subtree(c):
+    t = _tree(c).cache()
+    r = t.where("id = 3").first()
+    return _TREE.subtree(t, (r["lft"], r["rght"])).select("id")
+
+
+@_query(_RECURSIVE + " SELECT id FROM s WHERE parent = 2")
+def tree_children(c):
+    return _TREE.children(_tree(c), 2).select("id")
+
+
+@_query(_RECURSIVE + " SELECT id FROM s WHERE parent IS NULL AND id <> 3")
+def tree_siblings(c):
+    return _TREE.siblings(_tree(c), None, 3).select("id")
+
+
+@_query(_RECURSIVE + " SELECT id FROM s WHERE depth = 1")
+def tree_at_depth(c):
+    return _TREE.at_depth(_tree(c), 1).select("id")
+
+
+@_query(_RECURSIVE + " SELECT id, (rght - lft - 1)::BIGINT // 2 AS n FROM s")
+def tree_descendant_count(c):
+    return _tree(c).select("id", _TREE.descendant_count().alias("n"))
+
+
+@_query(f"SELECT id, CASE WHEN id = 102 THEN 4 ELSE parent END AS parent FROM ({_PARENTS})")
+def tree_move(c):
+    t = _TREE.move(_tree(c).cache(), 102, 4)
+    sound = _TREE.validate(t).select(F.col("id"), F.lit(-1).cast("bigint").alias("parent"))
+    return t.select("id", "parent").union(sound)
+
+
+@_query(f"SELECT id, CASE WHEN id = 102 THEN NULL WHEN parent = 102 THEN (SELECT parent FROM ({_PARENTS}) WHERE id = 102) ELSE parent END AS parent FROM ({_PARENTS})")
+def tree_remove(c):
+    t = _TREE.remove(_tree(c).cache(), 102)
+    sound = _TREE.validate(t).select(F.col("id"), F.lit(-1).cast("bigint").alias("parent"))
+    return t.select("id", "parent").union(sound)
+
+
 @_query(_RECURSIVE + " SELECT id FROM s WHERE rght - lft = 1")
 def tree_leaves(c):
     return _TREE.leaves(_tree(c)).select("id")
@@ -709,6 +755,11 @@ def upsert_update(c):
     return dml.upsert(_customers(c), _new(c), ["c_custkey"], {"c_name": "changed"})
 
 
+@_query(f"SELECT * FROM ({_NEW}) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, 'changed', c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_custkey IN (SELECT c_custkey FROM ({_NEW}))")
+def upsert_returning(c):
+    return dml.upsert_returning(_customers(c), _new(c), ["c_custkey"], {"c_name": "changed"}, F.col("c_acctbal") > 5000)[1]
+
+
 @_query(f"{_C} UNION ALL SELECT * FROM ({_NEW}) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)")
 def upsert_nothing(c):
     return dml.upsert(_customers(c), _new(c), ["c_custkey"])
@@ -759,6 +810,11 @@ def validate_cpf(c):
     return c.frame("customer").select("c_custkey", validate.cpf(F.lpad(number, 11, "0")).alias("ok"))
 
 
+@_query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
+def session_events(c):
+    return windows.sessions(c.frame("events"), "ts", "6 hours", ["user_id"], [F.count(F.lit(1)).alias("n")])
+
+
 @_query("SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def windowed_events(c):
     return windows.windowed(c.frame("events"), "ts", "1 day", ["event_type"], [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total")])

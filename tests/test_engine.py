@@ -315,3 +315,21 @@ def test_windows_serve_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r["window_start"]), r["kind"], r["n"]) for r in spark.table("counts").collect()) == want
+
+
+def test_python_functions_and_log(spark, shop):
+    from tessella.functions import python
+    from tessella.plans.log import QueryRunner
+
+    python.scalar_function("plus_one", "long", lambda s: s + 1)
+    python.aggregate_function("spread", "double", lambda s: float(s.max() - s.min()))
+    python.table_function(spark, "pairs", "a int, b int", lambda n: ((i, i * i) for i in range(n)))
+    assert select_from(shop, USERS).select(n=function_call("plus_one", col("users.id"))).order_by(e.alias_ref("n")).rows() == [{"n": 2}, {"n": 3}, {"n": 4}]
+    assert shop.frame("orders").agg(registry.get("spread")(F.col("total"))).first()[0] == 29.0
+    assert [tuple(r) for r in spark.sql("SELECT * FROM pairs(3)").collect()] == [(0, 0), (1, 1), (2, 4)]
+    told = []
+    runner = QueryRunner([lambda name, df, after: (told.append(name), after(df))[1]])
+    assert len(runner.run("users", select_from(shop, USERS))) == 3 and told == ["users"] and runner.log[0].error is None
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        runner.run("bad", spark.range(3).selectExpr("1 / (id - 1)"))
+    assert runner.log[1].error
