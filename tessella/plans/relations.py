@@ -15,6 +15,9 @@ from tessella.expr import Expr
 from tessella.plans.query import Include, Scope, Select
 from tessella.schema import Relation, TableDef
 
+#: Rows of the largest page whose keys are sent to the tasks that read its children.
+SMALL_PAGE = 10_000
+
 
 def _scope(target: str, definition: TableDef) -> Scope:
     return Scope({target: "__t", definition.name: "__t"})
@@ -49,10 +52,16 @@ def root_key(definition: TableDef, r: Relation) -> str:
     return r.foreign_key if r.kind == "belongs_to" else r.local_key or definition.key
 
 
-def nested_rows(query: Select, definition: TableDef, i: Include) -> DataFrame:
-    """``__rel`` and the nested value of a relation: a struct for one row, else an array in ascending order of the child's key."""
+def nested_rows(query: Select, definition: TableDef, i: Include, page: DataFrame | None = None) -> DataFrame:
+    """``__rel`` and the nested value of a relation: a struct for one row, else an array in ascending order of the child's key.
+
+    page: the roots, if they are few; then only their children are folded.
+    """
     r = definition.relation(i.name)
     rows, target = related_rows(query, definition, i.name, i.where)
+    if page is not None:
+        keys = page.select(F.col(f"`{root_key(definition, r)}`").alias("__key"))
+        rows = rows.join(F.broadcast(keys), F.col("__rel") == F.col("__key"), "left_semi")
     columns = list(i.columns or target.columns)
     if target.key in target.columns and target.key not in columns:
         columns.insert(0, target.key)  # the child's key is always there
@@ -74,10 +83,10 @@ def _by_key(a: Column, b: Column) -> Column:
     return F.when(a["__order"] < b["__order"], -1).when(a["__order"] > b["__order"], 1).otherwise(0)
 
 
-def _attach(query: Select, roots: DataFrame, definition: TableDef, i: Include) -> DataFrame:
+def _attach(query: Select, roots: DataFrame, definition: TableDef, i: Include, page: DataFrame | None = None) -> DataFrame:
     """roots with a relation as another column: null, or an empty array, where there is nothing."""
     r = definition.relation(i.name)
-    nested = nested_rows(query, definition, i)
+    nested = nested_rows(query, definition, i, page)
     joined = roots.join(nested.withColumnRenamed("__rel", f"__rel_{i.name}"), F.col(f"`{root_key(definition, r)}`") == F.col(f"__rel_{i.name}"), "inner" if i.kind == "inner" else "left").drop(f"__rel_{i.name}")
     return joined if r.single else joined.withColumn(i.name, F.coalesce(F.col(f"`{i.name}`"), F.array().cast(nested.schema[i.name].dataType)))
 
@@ -88,13 +97,18 @@ def with_includes(query: Select) -> DataFrame:
     for i in query.includes:
         if i.kind == "inner":  # roots without such a row don't count for the page
             bare = bare.where_has(i.name, i.where)
+    # a page in a full order is the same each time it is read: its keys, at most SMALL_PAGE, pick the children
+    ordered = bool(query.orders) and query.limited is not None and query.limited <= SMALL_PAGE and query.definition.key in query.definition.columns
+    if ordered:
+        bare = bare.order_by(f"{query.alias}.{query.definition.key}")
     names = [n for n, _ in bare._projection()]
     needed = {root_key(query.definition, query.definition.relation(i.name)) for i in query.includes}
     roots = bare.select(*[f"{query.alias}.{n}" for n in dict.fromkeys([*([] if query.items else names), *sorted(needed - set(names))])]).to_df()
+    page = roots if ordered else None
     if query.orders:
         roots = roots.withColumn("__at", F.monotonically_increasing_id()) if query.limited is None else _placed(roots)
     for i in query.includes:
-        roots = _attach(query, roots, query.definition, i)
+        roots = _attach(query, roots, query.definition, i, page)
     if query.orders:
         roots = roots.orderBy("__at")
     return roots.select(*[F.col(f"`{n}`") for n in names], *[F.col(f"`{i.name}`") for i in query.includes])
