@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bounds that one task takes when a running value is computed.
+BIN = 1 << 16
+
+
 @dataclass(frozen=True)
 class Tree:
     """The columns of a tree; scope: columns that part independent trees."""
@@ -73,11 +77,30 @@ class Tree:
         """A row for each bound: +1 at lft, -1 at rght."""
         return df.select("*", F.explode(F.array(F.struct(F.col(self.left).alias("at"), F.lit(1).alias("step")), F.struct(F.col(self.right).alias("at"), F.lit(-1).alias("step")))).alias("__e"))
 
+    def _before(self, df: DataFrame, at: str, value: str, fold, last: int) -> DataFrame:
+        """df with ``__so_far``: value folded over the rows of a tree up to one (``last`` 0), or before it (-1), by ``at``.
+
+        Bounds are dense whole numbers: they are dealt into bins of ``BIN``, folded within, and each bin takes on what
+        the bins before it come to. No task has more than a bin, however large the tree.
+        """
+        binned = df.withColumn("__bin", F.floor(F.col(at) / BIN))
+        here = Window.partitionBy(*self.scope, "__bin").orderBy(at)
+        ahead = Window.partitionBy(*self.scope).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+        totals = binned.groupBy(*self.scope, "__bin").agg(fold(value).alias("__t"))
+        starts = totals.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(self.scope)], F.col("__bin").alias("__b"), fold("__t").over(ahead).alias("__start"))
+        on = F.col("__bin") == F.col("__b")
+        for i, c in enumerate(self.scope):
+            on = on & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+        within = binned.withColumn("__within", fold(value).over(here.rowsBetween(Window.unboundedPreceding, last)))
+        joined = within.join(starts, on, "left").drop("__b", "__bin", *[f"__s{i}" for i in range(len(self.scope))])
+        return joined
+
     def with_depth(self, df: DataFrame, name: str = "depth") -> DataFrame:
         """Ancestors of each node: a running sum over the bounds."""
-        w = Window.partitionBy(*self.scope).orderBy("__e.at").rowsBetween(Window.unboundedPreceding, 0)
         events = self._events(df.drop(name) if name in df.columns else df)
-        return events.withColumn(name, (F.sum("__e.step").over(w) - 1).cast("int")).where("__e.step = 1").drop("__e")
+        events = events.withColumns({"__at": F.col("__e.at"), "__step": F.col("__e.step")})
+        summed = self._before(events, "__at", "__step", F.sum, 0).where("__step = 1")
+        return summed.withColumn(name, (F.col("__within") + F.coalesce("__start", F.lit(0)) - 1).cast("int")).drop("__e", "__at", "__step", "__within", "__start")
 
     def listed(self, df: DataFrame, label: str, spacer: str = "__") -> DataFrame:
         """key and label in order, the label indented by depth."""
@@ -90,16 +113,19 @@ class Tree:
         bad = df.select(self.key, F.when(left >= right, "lft must be below rght").when(left < 1, "lft must be 1 or more").alias("problem")).where("problem IS NOT NULL")
         events = self._events(df.where(left < right)).select(*self.scope, self.key, left.alias("__l"), right.alias("__r"), "__e", F.count(F.lit(1)).over(Window.partitionBy(*self.scope, "__e.at")).alias("__same"))
         shared = events.where("__same > 1").select(self.key, F.lit("a bound is shared").alias("problem")).distinct()
-        inner = Window.partitionBy(*self.scope).orderBy("__l")
-        spans = events.where("__e.step = 1").withColumn("__before", F.max("__r").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
-        pairs = spans.where("__before > __l AND __before < __r").select(self.key, F.lit("crosses another node").alias("problem"))
+        # inside of a sound node as many bounds open as close; of crossing nodes at least the outermost are told by that
+        steps = events.withColumns({"__at": F.col("__e.at"), "__step": F.col("__e.step")})
+        summed = self._before(steps, "__at", "__step", F.sum, 0).withColumn("__sum", F.col("__within") + F.coalesce("__start", F.lit(0)))
+        ends = summed.groupBy(*self.scope, self.key).agg(F.max(F.when(F.col("__step") == 1, F.col("__sum"))).alias("__open"), F.max(F.when(F.col("__step") == -1, F.col("__sum"))).alias("__close"))
+        pairs = ends.where("__close != __open - 1").select(self.key, F.lit("crosses another node").alias("problem"))
         return bad.union(shared).union(pairs)
 
     def recover(self, df: DataFrame, order: str | None = None, levels: int = 100) -> DataFrame:
         """lft, rght (and depth) anew from the parents, children by ``order`` (key, if none); unreachable nodes keep theirs.
 
-        A pass for each level finds each node's path; lft = 2 * place - depth - 1 and rght = lft + 2 * descendants + 1,
-        with the place in the order of paths.
+        A pass for each level finds each node's path; lft = 2 * place - depth - 1 and rght = lft + 2 * descendants + 1.
+        A node's place follows from the sizes of its and its ancestors' earlier siblings: nothing sorts the whole tree.
+        Keys must be unique, and scope columns not null.
         """
         by = order or self.key
         mine = Window.partitionBy(*self.scope, self.parent).orderBy(F.col(by).asc_nulls_first(), self.key)
@@ -114,10 +140,16 @@ class Tree:
             paths = paths.union(level)
         else:
             raise RecursionError(f"the tree is deeper than {levels} levels")
-        ups = paths.select(*self.scope, F.explode(F.transform(F.sequence(F.lit(1), F.col("__d") + 1), lambda i: F.array_join(F.slice(F.split("__path", "/"), F.lit(1), i), "/"))).alias("__path"))
+        parts = F.split("__path", "/")
+        head = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+        ups = paths.select(*self.scope, self.key, "__d", F.explode(F.transform(F.sequence(F.lit(1), F.col("__d") + 1), head)).alias("__path"))
         sizes = ups.groupBy(*self.scope, "__path").agg((F.count(F.lit(1)) - 1).alias("__n"))
-        place = F.row_number().over(Window.partitionBy(*self.scope).orderBy("__path"))
-        new = paths.join(sizes, [*self.scope, "__path"]).withColumn("__l", 2 * place - F.col("__d") - 1).select(self.key, "__l", (F.col("__l") + 2 * F.col("__n") + 1).alias("__r"), "__d")
+        # nodes before one: those of earlier siblings with all below them, for itself and each ancestor, and the ancestors
+        beside = Window.partitionBy(*self.scope, "__up").orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = sizes.withColumn("__up", head(F.size(parts) - 1)).select(*self.scope, "__path", "__n", F.coalesce(F.sum(F.col("__n") + 1).over(beside), F.lit(0)).alias("__before"))
+        placed = ups.join(earlier, [*self.scope, "__path"]).groupBy(self.key).agg((F.sum("__before") + F.count(F.lit(1))).alias("__place"), F.max("__d").alias("__d"), F.min("__n").alias("__n"))
+        left = 2 * F.col("__place") - F.col("__d") - 1
+        new = placed.select(self.key, left.alias("__l"), (left + 2 * F.col("__n") + 1).alias("__r"), "__d")
         values = {self.left: F.coalesce("__l", self.left), self.right: F.coalesce("__r", self.right)} | ({self.depth: F.coalesce("__d", self.depth)} if self.depth else {})
         kinds = {f.name: f.dataType for f in df.schema}
         return df.join(new, self.key, "left").select(*[values[c].cast(kinds[c]).alias(c) if c in values else F.col(c) for c in df.columns])

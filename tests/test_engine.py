@@ -9,6 +9,7 @@ from tessella import expr as e
 from tessella.expr import asc, col, desc, eq, gt
 from tessella.functions import dates, function_call, json_text, registry
 from tessella.operators import changes, dml, openapi, shaping, validate
+from tessella.operators import tree as tree_module
 from tessella.operators.cache import QueryCache, duration
 from tessella.operators.session import Session
 from tessella.operators.tree import Tree
@@ -241,8 +242,14 @@ def test_tree_queries(tree):
     assert [n["name"] for n in nested] == ["Root", "Other Root"] and [c["name"] for c in nested[0]["children"][0]["children"]] == ["X", "Y"]
     broken = tree.withColumn("lft", F.when(F.col("id") == 3, 6).otherwise(F.col("lft"))).withColumn("rght", F.when(F.col("id") == 5, 10).otherwise(F.col("rght")))
     assert {r["problem"] for r in TREE.validate(broken).collect()} >= {"lft must be below rght", "a bound is shared"}
-    crossing = tree.withColumn("rght", F.when(F.col("id") == 2, 20).when(F.col("id") == 1, 15).otherwise(F.col("rght")))
-    assert {r["problem"] for r in TREE.validate(crossing).collect()} == {"crosses another node"}
+    for a, b in [(20, 15), (9, 10)]:  # A ends outside of Root; A ends inside of B
+        crossing = tree.withColumns({"rght": F.when(F.col("id") == 2, a).when(F.col("id") == 1, b if a == 20 else 30).when(F.col("id") == 5, 20).otherwise(F.col("rght")), "lft": F.col("lft")})
+        assert "crosses another node" in {r["problem"] for r in TREE.validate(crossing).collect()}
+    tree_module.BIN, before = 2, tree_module.BIN
+    try:
+        assert {r["name"]: r["depth"] for r in TREE.with_depth(tree).collect()} == {r[1]: r[5] for r in ROWS} and TREE.validate(tree).isEmpty()
+    finally:
+        tree_module.BIN = before
     lost = TREE.recover(tree.withColumns({"lft": F.lit(0), "rght": F.lit(0), "depth": F.lit(0)}))
     assert bounds(lost) == bounds(tree)
     with pytest.raises(ValueError):
