@@ -5,9 +5,9 @@ documents, ids and blocks; then each document's id and number of ids, the byte o
 of the packed part (one more for its end), and the packed blocks. A block holds ``BLOCK`` ids, each in ``bits``
 bits, lowest bit first; so any range of ids is read by its blocks alone and unpacked by numpy at once.
 
-Shards follow one another in ascending doc_id order (null first; equal ids by a hash of their ids): a range
-partitioning deals the encoded documents out, a task writes its shard under a name of its own and renames it, so
-that a task that is run again after a loss replaces its file by the same. Files go to the folder that the cluster
+Shards follow one another in ascending doc_id order (null first; equal ids by a hash of their texts): a range
+partitioning deals the documents out, a task encodes its shard, writes it under a name of its own and renames it,
+so that a task that is run again after a loss replaces its file by the same. Files go to the folder that the cluster
 shares, by Arrow's file systems (file, hdfs, s3, gs).
 
 Texts are encoded by the tokenizers library. Where the tokenizer's file drops white space and splits words from all
@@ -26,6 +26,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,13 @@ MAGIC = b"TPK1"
 HEAD = struct.Struct("<4sIQQQQ")
 #: Ids in a block.
 BLOCK = 4096
-#: Ids that a shard aims at.
-SHARD_IDS = 8 << 20
+#: Bytes of input, as the planner estimates them, that a shard aims at; an estimate from UNKNOWN on is none.
+SHARD_BYTES = 32 << 20
+UNKNOWN = 1 << 60
 #: Parts of texts whose ids a worker remembers, in each of two generations.
-CACHE = 200_000
+CACHE = 300_000
+#: Characters of the longest part that is remembered.
+LONGEST = 64
 END_ID = 2
 #: Splits words from digits, digits from one another and both from other characters: see the tokenizer's file.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -129,79 +133,96 @@ class Encoder:
         norm = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.by_parts = norm == ["NFC", "Replace", "Lowercase"] and split[:1] == [_SPLIT] and spec["post_processor"] is None and not any(" " in t["content"] or t["normalized"] for t in spec["added_tokens"])
-        self.known: dict[str, bytes] = {}
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.vocabulary)])
+        self.by_parts = self.by_parts and bool(suffix)
+        self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str]) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words, encoded as one text and parted after tokens that end a word."""
+        ids = np.array(self._whole(" ".join(words)), self.kind)
+        ends = (np.nonzero(self.ends_word[ids])[0] + 1) * self.kind.itemsize
+        if len(ends) != len(words):
+            return self._bytes(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of parts that the young generation lacks; those that aren't long are remembered."""
         if len(self.known) >= CACHE:
-            self.known, self.old = {}, self.known
-        new, words = parts.difference(self.known), {}
-        back = new.intersection(self.old)
-        self.known.update({p: self.old[p] for p in back})
-        new -= back
-        for p in new:
+            self.known, self.old = {"": b""}, self.known
+        known, old = self.known, self.old
+        found = {p: old[p] for p in parts if p in old} if old else {}
+        words, other = {}, []
+        for p in parts.difference(found) if found else parts:
             if m := _WORD.fullmatch(p):
                 words[p] = m[1].lower(), m[2]
-        known = self.known
-        ask = list(({p for p in new if p not in words} | {w for w, _ in words.values()} | {".", ","}).difference(known))
-        again = [p for p in ask if p in self.old]
-        known.update({p: self.old[p] for p in again})
-        ask = [p for p in ask if p not in known]
-        known.update(zip(ask, self._bytes(ask), strict=True))
-        known[""] = b""
-        known.update({p: known[w] + known[stop] for p, (w, stop) in words.items()})
+            else:
+                other.append(p)
+        stems = {w for w, _ in words.values()} | {".", ","}
+        stem = {w: i for w in stems if (i := known.get(w)) is not None or (i := old.get(w)) is not None}
+        new = list(stems.difference(stem, ".,"))
+        stem |= zip(new, self._words(new), strict=True)
+        ask = [*other, *{".", ","}.difference(stem)]
+        asked = dict(zip(ask, self._bytes(ask), strict=True))
+        stem |= asked
+        found |= stem
+        found |= asked
+        found |= {p: stem[w] + stem[stop] if stop else stem[w] for p, (w, stop) in words.items()}
+        known.update({p: i for p, i in found.items() if len(p) <= LONGEST})
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian numbers of ``kind``."""
         if not self.by_parts:
             return self._bytes(texts)
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn({p for x in cut for p in x})
-        out = [b"".join(map(self.known.__getitem__, x)) for x in cut]
-        if long := [p for p in self.known if len(p) > 64]:
-            for p in long:
-                del self.known[p]
-        return out
+        parts = list(chain.from_iterable(cut))
+        ids = list(map(self.known.get, parts))
+        if lacking := {p for p, i in zip(parts, ids, strict=True) if i is None}:
+            found = self._learn(lacking)
+            ids = [found[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
+        ends = list(accumulate(map(len, cut)))
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n (ids, the end id included), ids (little-endian) of each row."""
+def _shard_count(docs: DataFrame) -> int:
+    """About SHARD_BYTES of the input for each shard; as many as shuffle partitions, where its size can't be told."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN:
+        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // SHARD_BYTES))
 
-    def run(batches):
-        encoder = Encoder(tokenizer)
-        end = np.array([end_id], encoder.kind).tobytes()
-        for doc_ids, texts in rows_of(batches, 128):
-            ids = [x + end for x in encoder.encode([t or "" for t in texts])]
-            n = [len(x) // encoder.kind.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
-    return narrow(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n long, ids binary")
-
-
-def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Write the shards below ``path`` (a fresh shared folder, if none); returns their list: shard, file, n_docs, n_ids, start."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
-    rows = stored(encoded(docs, tokenizer, end_id), "encoded")
-    vocabulary = Encoder(tokenizer).vocabulary
-    bits, kind = bits_for(vocabulary), "<u2" if vocabulary <= 1 << 16 else "<u4"
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    bits = bits_for(Encoder(tokenizer).vocabulary)
+    rows = narrow(docs, doc_id="long", text="string")
     # equal rows are told apart too, so that no range has to hold many
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc(), F.col("__at").asc()]
-    dealt = rows.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(max(1, -(-total // SHARD_IDS)), *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("__at").asc()]
+    dealt = rows.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(shards or _shard_count(docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def write(batches):
+        encoder = Encoder(tokenizer)
+        end = np.array([end_id], encoder.kind).tobytes()
         doc_ids, lengths, data = [], [], []
-        for own, ids in rows_of(batches, 1024):
+        for own, texts in rows_of(batches, 128):
+            ids = [x + end for x in encoder.encode([t or "" for t in texts])]
             doc_ids += own
             lengths += [len(x) for x in ids]
             data.append(b"".join(ids))
         if not doc_ids:
             return
-        ids = np.frombuffer(b"".join(data), kind)
+        ids = np.frombuffer(b"".join(data), encoder.kind)
         context = TaskContext.get()
         system, folder = _system(path)
         system.create_dir(folder, recursive=True)
@@ -240,6 +261,6 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return each.repartition(n, "shard").select("file", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Write the documents' shards, and read them back."""
-    return read_shards(write_shards(docs, tokenizer, path, end_id))
+    return read_shards(write_shards(docs, tokenizer, path, end_id, shards))

@@ -85,11 +85,10 @@ def test_parts_are_whole_texts(text):
 ENCODER = token_pack.Encoder(WORDS)
 
 
-def test_shards(spark, monkeypatch):
-    monkeypatch.setattr(token_pack, "SHARD_IDS", 1500)
+def test_shards(spark):
     df = docs(spark, TEXTS * 3)
     tok = Tokenizer.from_file(WORDS)
-    rows = token_pack.pack_documents(df, WORDS).collect()
+    rows = token_pack.pack_documents(df, WORDS, shards=5).collect()
     assert len(rows) == len(TEXTS) * 3 + 3
     start = 0
     for r in sorted(rows, key=lambda r: r["start"]):
