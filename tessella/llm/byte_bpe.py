@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from tessella.llm.common import narrow, rows_of
 
 #: Entries of a generation of a worker's memory.
-CACHE = 150_000
+CACHE = 300_000
+#: Characters of the longest piece that is remembered.
+LONGEST = 48
 #: Bytes of the longest piece that is merged together with others.
 MANY = 64
 #: Children of an inner node of the segment tree.
@@ -190,18 +192,15 @@ class Recent(dict):
     def __init__(self, size: int = CACHE) -> None:
         self.size, self.old = size, {}
 
-    def unknown(self, keys) -> list:
-        """Those of the keys that aren't known, each once; the others are from now on in the young generation."""
+    def recall(self, keys: set) -> tuple[dict, set]:
+        """Of keys that the young generation lacks: those of the old one, young again from now on, and the unknown ones."""
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        new = set(keys).difference(self)
         old = self.old
-        if old:
-            back = new.intersection(old)
-            self.update({k: old[k] for k in back})
-            new -= back
-        return list(new)
+        back = {k: old[k] for k in keys if k in old}
+        self.update(back)
+        return back, keys.difference(back) if back else keys
 
 
 class Codec:
@@ -221,38 +220,51 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.pieces, self.units = Recent(), Recent()
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
+    def _learn_pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of pieces that the young generation lacks."""
+        found, unknown = self.pieces.recall(pieces)
         by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in self.pieces.unknown(pieces):
+        for piece in unknown:
             data = piece.encode("utf-8")
             if (whole := self.ranks.get(data)) is not None:
-                self.pieces[piece] = (whole,)
+                found[piece] = (whole,)
             elif len(data) > MANY:
-                self.pieces[piece] = tuple(merge_bytes(data, self.ranks))
+                found[piece] = tuple(merge_bytes(data, self.ranks))
             else:
                 by_size.setdefault(max(4, 1 << (len(data) - 1).bit_length()), []).append((piece, data))
         for size, some in by_size.items():
-            self.pieces.update(zip([p for p, _ in some], merge_many([d for _, d in some], size, self.byte_ids, self.pairs), strict=True))
-
-    def _learn_units(self, units: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of units; those that aren't kept are returned."""
-        found = {u: [u] if u[:1] == " " and u[1:].isalpha() and u.isascii() else self.find(u) for u in units}
-        self._learn_pieces({p for x in found.values() for p in x})
-        get, once = self.pieces.__getitem__, {}
-        for u, x in found.items():
-            (self.units if len(u) <= 48 else once)[u] = get(x[0]) if len(x) == 1 else tuple(chain.from_iterable(map(get, x)))
-        for p in [p for p in self.pieces if len(p) > 48] if once else ():
-            del self.pieces[p]
-        return once
+            found.update(zip([p for p, _ in some], merge_many([d for _, d in some], size, self.byte_ids, self.pairs), strict=True))
+        self.pieces.update({p: i for p, i in found.items() if len(p) <= LONGEST})
+        return found
+
+    def _learn_units(self, units: set[str], heads: list[str]) -> tuple[dict[str, tuple[int, ...]], list[tuple[int, ...]]]:
+        """The ids of units that the young generation lacks, each after a blank; and of the beginnings of texts."""
+        found, unknown = self.units.recall(units)
+        split = {u: [" " + u] if u.isalpha() and u.isascii() else self.find(" " + u) for u in unknown}
+        first = [self.find(h) for h in heads]
+        get = self.pieces.get
+        pieces = {p for x in chain(split.values(), first) for p in x}
+        known = {p: i for p in pieces if (i := get(p)) is not None}
+        known |= self._learn_pieces(pieces.difference(known))
+        for u, x in split.items():
+            found[u] = known[x[0]] if len(x) == 1 else tuple(chain.from_iterable(map(known.__getitem__, x)))
+        self.units.update({u: i for u, i in found.items() if len(u) <= LONGEST})
+        return found, [tuple(chain.from_iterable(map(known.__getitem__, x))) for x in first]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut = []
-        for text in texts:
-            first, *rest = _UNIT.split(text)
-            cut.append([first, *map(" ".__add__, rest)])
-        once = self._learn_units(self.units.unknown({u for x in cut for u in x}))
-        get = self.units.__getitem__ if not once else lambda u: once[u] if u in once else self.units[u]
-        return [list(chain.from_iterable(map(get, x))) for x in cut]
+        cut = [_UNIT.split(text) for text in texts]
+        heads = [x[0] for x in cut]
+        units = list(chain.from_iterable(x[1:] for x in cut))
+        ids = list(map(self.units.get, units))
+        lacking = {u for u, i in zip(units, ids, strict=True) if i is None}
+        found, first = self._learn_units(lacking, heads)
+        ids = [found[u] if i is None else i for u, i in zip(units, ids, strict=True)]
+        out, at = [], 0
+        for x, head in zip(cut, first, strict=True):
+            end = at + len(x) - 1
+            out.append(list(chain(head, chain.from_iterable(ids[at:end]))))
+            at = end
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
