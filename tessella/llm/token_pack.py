@@ -26,6 +26,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -193,6 +194,12 @@ class Encoder:
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: what it has met in one task serves the next."""
+    return Encoder(path)
+
+
 def _shard_count(docs: DataFrame) -> int:
     """About SHARD_BYTES of the input for each shard; as many as shuffle partitions, where its size can't be told."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -205,14 +212,14 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     """Write the shards below ``path`` (a fresh shared folder, if none); returns their list: shard, file, n_docs, n_ids, start."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
-    bits = bits_for(Encoder(tokenizer).vocabulary)
+    bits = bits_for(encoder_of(tokenizer).vocabulary)
     rows = narrow(docs, doc_id="long", text="string")
     # equal rows are told apart too, so that no range has to hold many
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("__at").asc()]
     dealt = rows.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(shards or _shard_count(docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def write(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         doc_ids, lengths, data = [], [], []
         for own, texts in rows_of(batches, 128):
