@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,19 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     ]
 
 
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """Python's cycle collector off for a while: it walks large memories of strings again and again, and finds nothing
+    where no cycles are made; what isn't used any more goes by its reference count."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def rows_of(batches: Iterator, step: int = 256) -> Iterator[list[list]]:
     """Python columns of small slices of Arrow batches, so that few texts are held as Python strings at a time."""
     for batch in batches:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import narrow, rows_of, shared_path, stored
+from tessella.llm.common import narrow, rows_of, shared_path, stored, without_collector
 
 MAGIC = b"TPK1"
 HEAD = struct.Struct("<4sIQQQQ")
@@ -222,11 +222,12 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
         encoder = encoder_of(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         doc_ids, lengths, data = [], [], []
-        for own, texts in rows_of(batches, 128):
-            ids = [x + end for x in encoder.encode([t or "" for t in texts])]
-            doc_ids += own
-            lengths += [len(x) for x in ids]
-            data.append(b"".join(ids))
+        with without_collector():
+            for own, texts in rows_of(batches, 128):
+                ids = [x + end for x in encoder.encode([t or "" for t in texts])]
+                doc_ids += own
+                lengths += [len(x) for x in ids]
+                data.append(b"".join(ids))
         if not doc_ids:
             return
         ids = np.frombuffer(b"".join(data), encoder.kind)
