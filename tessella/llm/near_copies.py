@@ -1,16 +1,21 @@
-"""Near copies among documents: SimHash within a wide radius, verified on five-word shingles.
+"""Near copies among documents: SimHash within a wide radius, verified exactly on five-word shingles.
 
-Documents link where their SimHash fingerprints (of three-word shingles) differ in at most ``RADIUS`` bits and their
-sets of five-word shingles have a similarity of ``SIMILAR`` or more, as estimated from ``SIGNATURE`` MinHash values.
-Fingerprints of texts that similar rarely differ in more bits; of two unlike texts some in ten million lie as near,
-and the signatures tell them apart.
+Documents link where the similarity of their sets of five-word shingles is ``SIMILAR`` or more, computed from the
+sets' 64-bit hashes. What is compared exactly are the pairs that a loose prefilter lets through: SimHash fingerprints
+(of three-word shingles) that differ in at most ``RADIUS`` bits, and at least ``LOOSE`` of ``SIGNATURE`` one-byte
+MinHash values in common. By the binomial law the signatures lose 2 in 100 million pairs at a similarity of 0.8, and
+the fingerprints (bits taken as independent) 3 in 10,000 where a fifth of a text is cut off; fewer above.
 
-Nodes are distinct (fingerprint, number of shingles, signature). Similar sets have sizes alike, so nodes lie in
+Nodes are distinct sets (number of shingles, hash of the set). Similar sets have sizes alike, so nodes lie in
 classes by the logarithm of their size to the base 1 / SIMILAR, and only a class and the next are compared. A class
 is cut by hash into groups of at most about ``GROUP`` nodes; each pair of groups is one row with both groups' arrays,
 dealt out by the pair, so no class, however large, meets in one task. In a pair of groups, nodes are sorted by
 population count and compared in tiles by numpy exclusive-or and bit counts; pairs of tiles whose counts differ
-beyond the radius are skipped. What a comparison returns is a spanning forest of its links.
+beyond the radius are skipped.
+
+Pairs are compared in two passes, so that groups of many copies don't bring all their pairs to the exact comparison:
+the first takes for each node of a pair of tiles one likely partner; the second takes all pairs that pass the
+prefilter and whose nodes the verified links of the first don't connect yet.
 
 The comparisons still grow with the square of a class's nodes. Defined results: texts without words are copies of
 one another; null text counts as empty; of each component the row with the smallest (doc_id, row key) stays, nulls
@@ -20,20 +25,24 @@ last; rows that repeat doc_id and text are one document, of which one row stays.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import narrow, positional, row_key, rows_of, stored
 from tessella.llm.decontaminate import WordHashes
-from tessella.llm.simhash_dedup import components, fingerprint, spanning_forest
+from tessella.llm.simhash_dedup import components, fingerprint
 
-RADIUS = 12
+RADIUS = 20
 SIMILAR = 0.8
 SHINGLE = 5
 SIGNATURE = 64
+#: Values of the signature that a pair to be verified has in common at least, and that a likely pair has.
+LOOSE, LIKELY = 32, 50
 GROUP = 32_768
 TILE = 1024
 _LONGS = SIGNATURE // 8
@@ -65,7 +74,7 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 
 def _signed_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, __k1, __k2, node: [fingerprint, shingles, signature...]."""
+    """doc_id, __k1, __k2, node: [shingles, hash of the set, fingerprint, signature...]."""
 
     def run(batches):
         hashes = WordHashes()
@@ -73,19 +82,20 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
             nodes = []
             for t in texts:
                 h = shingle_hashes(t, hashes)
-                nodes.append([(fp := fingerprint(t)) - (fp >> 63 << 64), len(h), *signature(h).tolist()])
+                whole, fp = xxhash.xxh3_64_intdigest(h.tobytes()), fingerprint(t)
+                nodes.append([len(h), whole - (whole >> 63 << 64), fp - (fp >> 63 << 64), *signature(h).tolist()])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["doc_id", "__k1", "__k2", "node"])
 
     return docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(run, "doc_id long, __k1 long, __k2 long, node array<long>")
 
 
-def linked_groups(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links (ids of nodes) that span the components of all links between the rows [id, fp, n, signature...] of a and b."""
-    a, b = (x[np.argsort(np.bitwise_count(x[:, 1].view(np.uint64)), kind="stable")] for x in (a.copy(), b.copy()))
-    fa, fb = (np.ascontiguousarray(x[:, 1]).view(np.uint64) for x in (a, b))
+def candidate_pairs(a: np.ndarray, b: np.ndarray, common: int, all_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids, tile by tile, of the rows [id, label, n, set, fp, signature...] of a and b that have other labels, near
+    fingerprints and ``common`` signature values in common: all such pairs, or one for each row of a tile that has any."""
+    a, b = (x[np.argsort(np.bitwise_count(x[:, 4].view(np.uint64)), kind="stable")] for x in (a.copy(), b.copy()))
+    fa, fb = (np.ascontiguousarray(x[:, 4]).view(np.uint64) for x in (a, b))
     ca, cb = np.bitwise_count(fa).astype(int), np.bitwise_count(fb).astype(int)
-    sa, sb = (np.ascontiguousarray(x[:, 3:]).view(np.uint8).reshape(len(x), -1) for x in (a, b))
-    out: list[tuple[int, int]] = []
+    sa, sb = (np.ascontiguousarray(x[:, 5:]).view(np.uint8).reshape(len(x), -1) for x in (a, b))
     for i in range(0, len(a), TILE):
         p = slice(i, i + TILE)
         for j in range(0, len(b), TILE):
@@ -93,31 +103,30 @@ def linked_groups(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             if ca[p][0] > cb[q][-1] + RADIUS or cb[q][0] > ca[p][-1] + RADIUS:
                 continue
             x, y = np.nonzero(np.bitwise_count(fa[p][:, None] ^ fb[q][None, :]) <= RADIUS)
-            if not len(x):
-                continue
+            other = a[i + x, 1] != b[j + y, 1]
+            x, y = x[other], y[other]
             keep = np.zeros(len(x), bool)
             for at in range(0, len(x), 65536):
                 s = slice(at, at + 65536)
-                keep[s] = (sa[i + x[s]] == sb[j + y[s]]).mean(axis=1) >= SIMILAR
-            # links as a bipartite graph of the two tiles; a spanning forest of it goes on
-            m = min(TILE, len(a) - i)
-            for u, v in spanning_forest(x[keep], y[keep] + m, m + min(TILE, len(b) - j)):
-                ids = [int(a[i + w, 0]) if w < m else int(b[j + w - m, 0]) for w in (u, v)]
-                if ids[0] != ids[1]:
-                    out.append((ids[0], ids[1]))
-    return list(dict.fromkeys(out))
-
-
-def _links(nodes: DataFrame) -> DataFrame:
-    """Links a, b between ids of nodes. nodes: id, node."""
-    size = F.when(F.element_at("node", 2) > 0, F.floor(F.log(F.element_at("node", 2).cast("double")) / math.log(1 / SIMILAR) + 1e-9)).otherwise(-2)
+                keep[s] = (sa[i + x[s]] == sb[j + y[s]]).sum(axis=1) >= common
+            x, y = x[keep], y[keep]
+            if not all_pairs:
+                first = np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
+                x, y = x[first], y[first]
+            if len(x):
+                yield a[i + x, 0], b[j + y, 0]
+
+
+def _candidates(nodes: DataFrame, common: int, all_pairs: bool) -> DataFrame:
+    """Distinct pairs a < b of ids of nodes that pass the prefilter. nodes: id, label, node."""
+    size = F.when(F.element_at("node", 1) > 0, F.floor(F.log(F.element_at("node", 1).cast("double")) / math.log(1 / SIMILAR) + 1e-9)).otherwise(-2)
     placed = nodes.withColumn("class", size.cast("int"))
     groups = stored(placed.groupBy("class").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), "classes")
     # at most a few hundred classes, as many as logarithms of text lengths
     count = {r["class"]: r["groups"] for r in groups.collect()}
     of = F.create_map(*[F.lit(x) for k, g in count.items() for x in (k, g)]) if count else F.create_map(F.lit(0), F.lit(1))
     dealt = placed.withColumn("g", F.pmod(F.xxhash64("id"), F.element_at(of, F.col("class"))).cast("int"))
-    packed = stored(dealt.groupBy("class", "g").agg(F.flatten(F.collect_list(F.concat(F.array("id"), "node"))).alias("rows")), "groups")
+    packed = stored(dealt.groupBy("class", "g").agg(F.flatten(F.collect_list(F.concat(F.array("id", "label"), "node"))).alias("rows")), "groups")
     own, after = F.element_at(of, F.col("class")), F.coalesce(F.try_element_at(of, F.col("class") + 1), F.lit(0))
     before = F.coalesce(F.try_element_at(of, F.col("class") - 1), F.lit(0))
     upto = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
@@ -129,27 +138,56 @@ def _links(nodes: DataFrame) -> DataFrame:
     left = packed.select(F.explode(first).alias("k"), "rows").select(*[f"k.{x}" for x in key], F.col("rows").alias("r1"))
     right = packed.select(F.explode(second).alias("k"), "rows").select(*[f"k.{x}" for x in key], F.col("rows").alias("r2"))
     both = left.join(right, key).select("r1", "r2")
-    width = 3 + _LONGS
+    width = 5 + _LONGS
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 x, y = (c[i].values.to_numpy(zero_copy_only=False).reshape(-1, width) for c in batch.columns)
-                found = linked_groups(x, y)
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
+                for p, q in candidate_pairs(x, y, common, all_pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    return stored(both.mapInArrow(run, "a long, b long").distinct(), "candidates")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets are similar, computed from the shingles of their texts. nodes: id, place; docs: doc_id, text."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = stored(nodes.select("id", "place.__k1", "place.__k2").join(ends, "id", "left_semi"), "wanted")
+    texts = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(wanted, ["__k1", "__k2"]).select("id", "text")
+
+    def run(batches):
+        hashes = WordHashes()
+        for ids, words in rows_of(batches, 128):
+            sets = [shingle_hashes(t, hashes).view(np.int64) for t in words]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    sets = stored(texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    # both / (one + other - both) >= 4 / 5
+    return stored(pairs.join(left, "a").join(right, "b").where(both * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b"), "similar")
+
 
-    return both.mapInArrow(run, "a long, b long")
+def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links a, b between ids of nodes whose components are those of all similar pairs. nodes: id, node, place."""
+    likely = _similar(_candidates(nodes.select("id", F.col("id").alias("label"), "node"), LIKELY, False), nodes, docs)
+    label = components(likely)
+    named = nodes.join(label.select(F.col("node").alias("__id"), "label"), F.col("id") == F.col("__id"), "left").select("id", F.coalesce("label", "id").alias("label"), "node")
+    return likely.union(_similar(_candidates(stored(named, "named"), LOOSE, True), nodes, docs))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of copies and near copies."""
     flat, name = positional(docs)
     doc_id, text = F.col(name["doc_id"]).cast("long"), F.col(name["text"]).cast("string")
-    rows = stored(_signed_rows(narrow(docs, doc_id="long", text="string")), "signed")
+    own = narrow(docs, doc_id="long", text="string")
+    rows = stored(_signed_rows(own), "signed")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "__k1", "__k2")
-    nodes = rows.groupBy("node").agg(F.min(place).alias("place"))
+    # one node for each set: equal numbers of shingles and equal hashes of the set
+    nodes = rows.groupBy(F.slice("node", 1, 2)).agg(F.min(F.struct(place.alias("place"), "node")).alias("least")).select("least.*")
     nodes = stored(nodes.select(F.xxhash64("place.__k1", "place.__k2").alias("id"), "node", "place"), "nodes")
-    label = components(_links(nodes.select("id", "node")))
+    label = components(_links(nodes, own))
     named = nodes.join(label, nodes["id"] == label["node"], "left").select(nodes["place"], F.coalesce("label", "id").alias("label"))
     kept = stored(named.groupBy("label").agg(F.min("place").alias("place")).select("place.__k1", "place.__k2"), "kept")
     keyed = flat.withColumns(dict(zip(("__k1", "__k2"), row_key(doc_id, text), strict=True)))

@@ -120,6 +120,20 @@ def test_near_copies(spark, monkeypatch):
     assert near_copies.drop_near_copies(df.limit(0)).collect() == []
 
 
+def test_near_copies_are_verified_at_the_bound(spark):
+    """80 of 100 shingles in common: one goes; 79: both stay."""
+    rng = random.Random(16)
+    rows, want = [], []
+    for i in range(80):
+        w = words(rng, 104)
+        short = w[: 84 - i % 2]
+        assert (jaccard(" ".join(w), " ".join(short)) >= 0.8) == (i % 2 == 0)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(short))]
+        want += [2 * i] if i % 2 == 0 else [2 * i, 2 * i + 1]
+    got = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
 def test_masks_miss_no_pattern():
     """Whichever two positions of a window differ, one mask ignores both."""
     rng = np.random.default_rng(0)
