@@ -30,7 +30,7 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make a context sensitive, in lower case.
 SENSITIVE = ("key", "auth", "bearer", "credential", "private", "pwd", "passphrase", "secret", "token", "login", "signature", "session")
-_NEAR = re.compile(rf"(?:{'|'.join(SENSITIVE)})[^\n]{{0,40}}", re.IGNORECASE | re.ASCII)
+_NEAR = re.compile(rf"(?=((?:{'|'.join(SENSITIVE)})[^\n]{{0,40}}))", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 SHORTEST = 16
 #: Code points before a candidate that count as its surroundings.
@@ -72,15 +72,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def windows(text: str) -> list[tuple[int, int]]:
+    """What lies after each sensitive word, up to 40 characters of its line; windows that meet are one."""
+    out: list[tuple[int, int]] = []
+    for m in _NEAR.finditer(text):
+        s, e = m.span(1)
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], squeezer: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of what only the method finds; taken: spans that it may not overlap."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
         return []
     found: dict[tuple[int, int], None] = {}
-    for near in _NEAR.finditer(text):
-        for m in _CANDIDATE.finditer(text, near.start()):
-            if m.start() > near.end():
+    for first, last in windows(text):
+        for m in _CANDIDATE.finditer(text, first):
+            if m.start() > last:
                 break
             s, e = m.span()
             t = m[0]

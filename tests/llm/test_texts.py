@@ -125,6 +125,14 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(docs(spark, texts).limit(0)).collect() == []
 
 
+def test_every_sensitive_word_opens_a_window():
+    key = "q8Zr71LmPx02VtKd93Ws"
+    for text in (f"Authorization header sent by this client: Bearer {key}", f"The key and the token, then in the same line the login of a client as {key}"):
+        at = text.index(key)
+        assert secret_scan.novel_spans(text, [], secret_scan._squeezer()) == [(at, 3, at + len(key))]
+    assert secret_scan.novel_spans(f"Authorization header\n sent by this client {key}", [], secret_scan._squeezer()) == []
+
+
 def toxic_corpus(n):
     rng = random.Random(9)
     bad = ["vile", "awful", "nasty", "rotten"]
