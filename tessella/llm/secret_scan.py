@@ -3,7 +3,9 @@
 Patterns find assignments, access keys and long hexadecimal runs. The method adds candidates that stand in a
 sensitive context (after a word such as key, auth or bearer): for each, the text before it is compressed with a
 dictionary of common identifiers and words, without and with the candidate; where the candidate costs nearly as many
-bytes as it has (``NOVELTY``), it repeats neither code nor identifiers and is reported. Candidates that overlap a
+bytes as it has (``NOVELTY``), it repeats neither code nor identifiers and is reported. Both texts begin with the same
+letters (``FILL``), so many that literals are always Huffman-coded: otherwise a candidate that tips the compressor from
+raw to coded literals would shrink the text before it as well, and look cheap. Candidates that overlap a
 pattern's span, are shorter than ``SHORTEST``, or don't mix letters and digits are no candidates.
 
 Whole texts are searched. Defined results: null text counts as empty and has no span; a row gives a row; further
@@ -13,6 +15,7 @@ columns are ignored. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pyarrow as pa
@@ -48,6 +51,8 @@ message error exception warning debug info log logger test tests data file path
 base64 encode decode encrypt decrypt abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef
 getValue setValue createElement addEventListener undefined null true false self this that the and with for changeme
 """.encode()
+#: Letters of words that mean nothing, about as frequent as in prose, so that nothing repeats and all are literals.
+FILL = "".join(random.Random(1).choices("      etaoinshrdlcumwfgypbvk", [5] * 6 + [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3, 3, 2, 2, 2, 2, 2, 2, 1, 1, 1], k=512)).encode()
 
 
 def _squeezer(words: bytes = COMMON) -> zstandard.ZstdCompressor:
@@ -57,7 +62,7 @@ def _squeezer(words: bytes = COMMON) -> zstandard.ZstdCompressor:
 
 def marginal_bytes(squeezer: zstandard.ZstdCompressor, around: str, candidate: str) -> int:
     """Compressed bytes that the candidate adds to its surroundings."""
-    before = around.encode("utf-8", "surrogatepass")
+    before = FILL + around.encode("utf-8", "surrogatepass")
     return len(squeezer.compress(before + candidate.encode())) - len(squeezer.compress(before))
 
 

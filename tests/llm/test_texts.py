@@ -133,6 +133,19 @@ def test_every_sensitive_word_opens_a_window():
     assert secret_scan.novel_spans(f"Authorization header\n sent by this client {key}", [], secret_scan._squeezer()) == []
 
 
+@pytest.mark.parametrize(("letters", "size"), [("0123456789abcdef", 20), ("0123456789abcdef", 31), ("abcdefghijklmnopqrstuvwxyz0123456789", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20)])
+def test_random_keys_are_novel_at_every_distance(letters, size):
+    rng, squeezer = random.Random(size), secret_scan._squeezer()
+    prose = " ".join("".join(rng.choices("etaoinshrdlcumw", k=rng.randint(2, 8))) for _ in range(600))
+    for distances in (range(0, 60), range(60, 120), range(120, 200), range(200, 2400, 20)):
+        found = 0
+        for d in distances:
+            key = "k" + "".join(rng.choices(letters, k=size - 2)) + "7"
+            text = f"{prose[:d]} private key: {key}"
+            found += secret_scan.novel_spans(text, [], squeezer) == [(len(text) - size, 3, len(text))]
+        assert found >= 0.95 * len(distances)
+
+
 def toxic_corpus(n):
     rng = random.Random(9)
     bad = ["vile", "awful", "nasty", "rotten"]
