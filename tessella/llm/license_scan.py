@@ -1,9 +1,17 @@
 """License scans by sentence rules.
 
-A text is cut into sentences at line ends and at full stops, exclamation and question marks before white space.
-Sentences are normalised (A-Z in lower case, runs of other characters than a-z and 0-9 as one blank) and mapped to
-identifiers of known licence sentences. The identifiers of a text, in order, are matched against rules: a rule
-holds where its identifiers stand next to one another in that sequence; unknown sentences may stand between them.
+Texts are normalised: A-Z in lower case, runs of other characters than a-z and 0-9 as one blank, and between the
+words a mark where a sentence ends (full stops, exclamation and question marks before white space or the text's end,
+and lines without words) and another where a line ends. Known licence sentences become identifiers where they are
+
+- all that stands between two ends of either kind (one-line notices),
+- all that stands between two ends of sentences, lines within joined (wrapped notices), or
+- for the long ones of ``WITHIN``, anywhere, whatever ends lie within and whatever stands before and behind: in
+  licence files they are wrapped, numbered, and joined by semicolons and colons.
+
+The identifiers of a text, in order, are matched against rules: a rule holds where its identifiers stand next to one
+another in that sequence; unknown sentences may stand between them. The SQL knows the first kind only, so it says the
+same where no known sentence is wrapped or part of another.
 
 DataFrame functions only; no shuffle. Defined results: null and empty texts have no sentence and no licence; a row
 gives a row, repeated rows too; doc_id is passed on as it is; further columns are ignored.
@@ -69,16 +77,31 @@ RULES = [
     ("Unlicense", "text", ["unlicense.ref"]),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Where one sentence ends and the next begins.
-ENDS = r"[.!?]+[ \t\r]+|[.!?]*[\r\n]+"
+#: Sentences that no other text holds by chance.
+WITHIN = ("mit.grant", "mit.notice", "apache.head", "apache.use", "apache.copy", "apache.asis", "gpl.free", "gpl.hope", "bsd.grant", "bsd.source", "bsd.binary", "mpl.ref")
+#: Where a sentence ends: after a mark, and at lines without words (line ends are line feeds, letters in lower case).
+ENDS = r"[.!?]+[ \t\n]+|\n[^a-z0-9]*\n"
+#: Marks between words: the end of a sentence, the end of a line.
+END, LINE = "E", "L"
+
+
+def _pattern() -> str:
+    """Matches known sentences in a normalised text; of those that begin at one place, the longest of WITHIN first."""
+    words = {i: x.split() for i, x in SENTENCES.items()}
+    within = "|".join(f"(?: [{END}{LINE}])* ".join(words[i]) for i in WITHIN)
+    one_line = "|".join(" ".join(w) for i, w in words.items() if i not in WITHIN)
+    wrapped = "|".join(f"(?: {LINE})* ".join(w) for i, w in words.items() if i not in WITHIN)
+    return f"(?<= )(?:{within})(?= )|(?<=[{END}{LINE}] )(?:{one_line})(?= [{END}{LINE}])|(?<={END} |{END} {LINE} )(?:{wrapped})(?= (?:{LINE} )*{END})"
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known licence sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    norm = lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
-    found = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ENDS), norm), lambda s: s.isin(list(SENTENCES.values())))
-    return F.transform(found, lambda s: F.element_at(known, s))
+    lines = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"\r\n?", "\n")
+    marked = F.replace(F.regexp_replace(lines, ENDS, f" {END} "), F.lit("\n"), F.lit(f" {LINE} "))
+    norm = F.concat(F.lit(f"{END} "), F.trim(F.regexp_replace(marked, f"[^a-z0-9{END}{LINE}]+", " ")), F.lit(f" {END}"))
+    found = F.regexp_extract_all(norm, F.lit(_pattern()), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, f" [{END}{LINE}](?= )", "")))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

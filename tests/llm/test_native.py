@@ -89,6 +89,61 @@ def test_licenses(spark, text, licenses):
     assert [r["licenses"] for r in rows] == [licenses] * 3
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+@pytest.mark.parametrize(("text", "licenses"), [(MIT, "MIT:text"), (BSD, "BSD-2-Clause:text"), (GPL, "GPL-3.0:header"), (APACHE, "Apache-2.0:header"), ("Code.\n\nThis work is licensed under the GNU Lesser\nGeneral Public License version 3.\n", "LGPL-3.0:notice")])
+def test_wrapped_licenses(spark, text, licenses):
+    hashes = "".join(f"# {x}\n" for x in text.split("\n"))
+    stars = "/*\r\n" + "".join(f" * {x}\r\n" for x in text.split("\n")) + " */\r\nint x;"
+    one = " ".join(text.split())
+    rows = license_scan.scan_licenses(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate((text, hashes, stars, one))], DOCS)).collect()
+    assert [r["licenses"] for r in sorted(rows)] == [licenses] * 4
+
+
+def test_one_line_notices_are_whole_lines(spark):
+    texts = ["Not released under the MIT License", "Licensed under CC BY 4.0\nand more words", "This is licensed\nunder CC BY 4.0."]
+    rows = license_scan.scan_licenses(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)).collect()
+    assert [r["licenses"] for r in sorted(rows)] == ["", "CC-BY-4.0:notice", ""]
+
+
 def test_native_plans_have_no_python(spark):
     df = spark.createDataFrame([(1, "a\nb\nc\nd", "x", "y")], DOCS)
     for out in (line_dedup.line_report(df), license_scan.scan_licenses(df)):
