@@ -8,7 +8,8 @@ positions differ, two parts are whole and the mask of those two parts hits: no s
 
 Test and training hashes meet in a join. Before it, a bit table of fixed size (``FILTER_BITS``), sent to all tasks,
 drops windows whose hashes no item has; however many items there are, it only lets more windows through. Hits
-carry the words of their window as 64-bit hashes, and the join verifies them.
+carry the words of their window as 64-bit hashes, and the join verifies each distinct window once, whatever the items
+that hold it; what is verified then meets all items of its window.
 
 Defined results: null texts and texts shorter than the window (and than any short item) overlap nothing; items with
 the same words are one, under their smallest id; rows with equal doc_id and text are one document; null item ids are
@@ -85,24 +86,26 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """item_id, size (words of the window), h, words (the window's word hashes). items: item_id, text."""
+    """item_id, whole (a hash of all its words), size (words of the window), h, words (the window's word hashes). items: item_id, text."""
 
     def run(batches):
         hashes = WordHashes()
         for ids, texts in rows_of(batches, 64):
-            out = {"item_id": [], "size": [], "h": [], "words": []}
+            out = {"item_id": [], "whole": [], "size": [], "h": [], "words": []}
             for item, text in zip(ids, texts, strict=True):
                 t = tokens(text, hashes)
                 short = (len(t),) if SHORTEST <= len(t) < WINDOW else ()
                 signed = t.view(np.int64)
+                whole = xxhash.xxh3_64_intdigest(t.tobytes()) >> 1
                 for size, h in seeds(t, short):
                     out["item_id"] += [item] * len(h)
+                    out["whole"] += [whole] * len(h)
                     out["size"] += [size] * len(h)
                     out["h"] += h.view(np.int64).tolist()
                     out["words"] += [signed[i : i + size].tolist() for i in range(len(h))]
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("words", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("whole", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("words", pa.list_(pa.int64()))]))
 
-    return items.mapInArrow(run, "item_id long, size int, h long, words array<long>")
+    return items.mapInArrow(run, "item_id long, whole long, size int, h long, words array<long>")
 
 
 def _bit_table(spark: SparkSession, item_seeds: DataFrame):
@@ -115,12 +118,17 @@ def _bit_table(spark: SparkSession, item_seeds: DataFrame):
     return spark.sparkContext.broadcast(table.view(np.uint64))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, __k1, __k2, item_id, at (the word at which an overlapping window starts), size, same (words that agree)."""
-    spark = docs.sparkSession
+def windows_of(benchmark: DataFrame) -> DataFrame:
+    """item_id, whole, size, h, words, window (a hash of the words) of the items' windows."""
     items = narrow(benchmark, item_id="long", text="string").where("item_id IS NOT NULL")
-    # one row for each distinct window and hash, under its smallest item, so that equal passages of items aren't multiplied
-    item_seeds = stored(_item_seeds(items).groupBy("h", "size", "words").agg(F.min("item_id").alias("item_id")), "seeds")
+    return stored(_item_seeds(items).withColumn("window", F.xxhash64("size", "words")), "windows")
+
+
+def overlaps(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, __k1, __k2, window, at (the word at which an overlapping window starts), size, same (words that agree)."""
+    spark = docs.sparkSession
+    # one row for each distinct window and hash, so that equal passages of items aren't multiplied
+    item_seeds = stored(windows.groupBy("h", "size", "words").agg(F.min("window").alias("window")), "seeds")
     short = tuple(sorted(r["size"] for r in item_seeds.where(F.col("size") < WINDOW).select("size").distinct().collect()))  # at most 8
     table = _bit_table(spark, item_seeds)
 
@@ -140,18 +148,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], schema=kinds)
 
     rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
-    windows = rows.mapInArrow(run, "doc_id long, __k1 long, __k2 long, at int, size int, h long, own array<long>")
+    hits = rows.mapInArrow(run, "doc_id long, __k1 long, __k2 long, at int, size int, h long, own array<long>")
     same = F.aggregate(F.zip_with("own", "words", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    met = windows.join(item_seeds.withColumnRenamed("size", "its"), "h").where("size = its").withColumn("same", same)
+    met = hits.join(item_seeds.withColumnRenamed("size", "its"), "h").where("size = its").withColumn("same", same)
     allowed = F.when(F.col("size") == WINDOW, SUBSTITUTIONS).otherwise(0)
-    return met.where(F.col("size") - F.col("same") <= allowed).select("doc_id", "__k1", "__k2", "item_id", "at", "size", "same")
+    return met.where(F.col("size") - F.col("same") <= allowed).select("doc_id", "__k1", "__k2", "window", "at", "size", "same")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (starts of overlapping windows), first_word, last_word (from 0), most_same, for each pair that overlaps."""
-    met = overlaps(narrow(docs, doc_id="long", text="string"), benchmark)
-    # a window is hit by several masks: pre-aggregated before the pair's rows meet
-    once = met.groupBy("doc_id", "item_id", "at").agg(F.max("same").alias("same"), F.max("size").alias("size"))
+    windows = windows_of(benchmark)
+    # a window is hit by several masks: pre-aggregated by document and window before it meets its items
+    place = F.struct("at", "size", "same")
+    met = overlaps(narrow(docs, doc_id="long", text="string"), windows).groupBy("doc_id", "window").agg(F.collect_set(place).alias("places"))
+    named = windows.groupBy("whole").agg(F.min("item_id").alias("item_id"))
+    owners = stored(windows.select("whole", "window").distinct().join(named, "whole").select("window", "item_id").distinct(), "owners")
+    pairs = met.join(owners, "window").select("doc_id", "item_id", F.explode("places").alias("p")).select("doc_id", "item_id", "p.*")
+    once = pairs.groupBy("doc_id", "item_id", "at").agg(F.max("same").alias("same"), F.max("size").alias("size"))
     return once.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.min("at").alias("first_word"), F.max(F.col("at") + F.col("size") - 1).alias("last_word"), F.max("same").alias("most_same"))
 
 
@@ -159,6 +172,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that overlap a benchmark item."""
     flat, name = positional(docs)
     doc_id, text = F.col(name["doc_id"]).cast("long"), F.col(name["text"]).cast("string")
-    bad = stored(overlaps(narrow(docs, doc_id="long", text="string"), benchmark).groupBy("__k1", "__k2").agg(F.lit(1).alias("__one")), "contaminated").select("__k1", "__k2")
+    bad = stored(overlaps(narrow(docs, doc_id="long", text="string"), windows_of(benchmark)).groupBy("__k1", "__k2").agg(F.lit(1).alias("__one")), "contaminated").select("__k1", "__k2")
     keyed = flat.withColumns(dict(zip(("__k1", "__k2"), row_key(doc_id, text), strict=True)))
     return keyed.join(bad, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2").toDF(*docs.columns)

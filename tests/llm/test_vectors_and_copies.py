@@ -191,3 +191,13 @@ def test_decontamination(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([d for d, _ in docs if d not in bad], key=repr)
     assert decontaminate.contaminations(df, bench.limit(0)).collect() == []
     assert decontaminate.contaminations(df.limit(0), bench).collect() == []
+
+
+def test_items_that_share_windows_are_all_reported(spark):
+    rng = random.Random(8)
+    shared, a, b, c = (words(rng, n) for n in (15, 10, 10, 20))
+    bench = spark.createDataFrame([(1, " ".join(shared + a)), (2, " ".join(shared + b)), (3, " ".join(c)), (4, " ".join(shared + a))], "item_id long, text string")
+    df = spark.createDataFrame([(10, " ".join(shared)), (11, " ".join(shared + b))], "doc_id long, text string")
+    got = {tuple(r) for r in decontaminate.contaminations(df, bench).collect()}
+    # a window may differ in two words: of item 1, those reach two words into item 2's own part
+    assert got == {(10, 1, 3, 0, 14, 13), (10, 2, 3, 0, 14, 13), (11, 1, 5, 0, 16, 13), (11, 2, 13, 0, 24, 13)}
