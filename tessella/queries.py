@@ -95,6 +95,12 @@ def unnest_ordinality(c):
     return q.select(vec_id=col("embeddings.vec_id"), x=numbers.round_(e.cast(col("x"), "double"), 6), i=col("i"))
 
 
+@_query("SELECT vec_id, round(u::DOUBLE, 6) AS x, i::INT AS i FROM (SELECT vec_id, unnest(embedding) AS u, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+def unnest_ordinality_whole(c):
+    q = select_from(c, "embeddings").lateral(lambda s: col("embeddings.embedding").build(s), "u", ("x", "i"), True)
+    return q.select(vec_id=col("embeddings.vec_id"), x=numbers.round_(e.cast(col("x"), "double"), 6), i=col("i"))
+
+
 @_query("SELECT upper(c_mktsegment) AS seg, count(*) AS n FROM customer GROUP BY upper(c_mktsegment)")
 def select_raw(c):
     return select_from(c, "customer").select_raw(seg="upper(c_mktsegment)", n="count(1)").group_by(e.raw("upper(c_mktsegment)"))
@@ -465,6 +471,11 @@ def include_many_to_many(c):
     return _json(select_from(c, "orders").where(e.lte(col("orders.o_orderkey"), 500)).include("parts", ["p_partkey", "p_brand"]).to_df(), "o_orderkey", "parts")
 
 
+@_query("SELECT o_orderkey, to_json(coalesce(list(DISTINCT {'p_partkey': p_partkey, 'p_brand': p_brand} ORDER BY {'p_partkey': p_partkey, 'p_brand': p_brand}) FILTER (p_partkey IS NOT NULL), []))::VARCHAR AS nested FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey")
+def include_many_to_many_whole(c):
+    return _json(select_from(c, "orders").include("parts", ["p_partkey", "p_brand"]).to_df(), "o_orderkey", "parts")
+
+
 @_query("SELECT n_nationkey, to_json(coalesce(list({'c_custkey': c_custkey} ORDER BY c_custkey) FILTER (c_custkey IS NOT NULL), []))::VARCHAR AS nested FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9500 GROUP BY n_nationkey")
 def include_filtered(c):
     return _json(select_from(c, "nation").include("customers", ["c_custkey"], where=gt(_b(), 9500)).to_df(), "n_nationkey", "customers")
@@ -502,6 +513,16 @@ def morph_one_include(c):
     return select_from(c, "customer").where(lt(col("customer.c_custkey"), 150)).include("signup", ["event_id"]).to_df().select("c_custkey", F.col("signup.event_id").alias("signup_id"))
 
 
+@_query("SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'click' GROUP BY c_custkey")
+def morph_many_include_whole(c):
+    return select_from(c, "customer").include("clicks", ["event_id"]).to_df().select("c_custkey", F.size("clicks").cast("bigint").alias("n"))
+
+
+@_query("SELECT c_custkey, min(event_id) AS signup_id FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'signup' GROUP BY c_custkey")
+def morph_one_include_whole(c):
+    return select_from(c, "customer").include("signup", ["event_id"]).to_df().select("c_custkey", F.col("signup.event_id").alias("signup_id"))
+
+
 @_query("SELECT event_id, coalesce(c_name, s_name) AS owner FROM events LEFT JOIN customer ON event_type = 'view' AND c_custkey = user_id LEFT JOIN supplier ON event_type = 'purchase' AND s_suppkey = user_id")
 def morph_to_owner(c):
     events = c.definition("events").with_relations(owner=morph_to("user_id", "event_type", {"view": "customer", "purchase": "supplier"}))
