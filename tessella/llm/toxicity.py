@@ -5,8 +5,9 @@ Learning. Labelled documents whose crc32(doc_id as text) mod 4 is not 2 are exam
 Of near copies, which would pass for independent witnesses, one stays: examples with equal MinHash of their five-word
 shingles are one. Units are words in lower case and their beginnings of ``PREFIXES`` letters; a unit that a text has n
 times gives the terms (unit, 1) to (unit, n), up to ``LEVELS``, so that cosines tell frequent from single use. Of the
-terms in enough examples the ``TERMS`` with the highest log-likelihood ratio against the label, over ``RATIO``, make
-up the vocabulary. A text's vector has the idf of each of its terms, at length 1.
+terms in enough examples the ``TERMS`` with the highest log-likelihood ratio against the label make up the vocabulary,
+if it is ``RATIO`` for each example and ``LEAST_RATIO`` or more (the ratio of one and the same term grows with the
+number of examples). A text's vector has the idf of each of its terms, at length 1.
 
 Scoring. Examples lie in blocks of ``BLOCK``; the index holds for each term its examples and weights, and its largest
 weight in each block. A text's blocks are taken in descending order of the bound that those give, until no block can
@@ -41,8 +42,8 @@ EXAMPLES = 4096
 TERMS = 256
 #: Share of the examples that must have a term, in hundredths of those that are toxic; and at least three of them.
 LEAST = 0.02
-#: Least log-likelihood ratio of a term.
-RATIO = 30.0
+#: Least log-likelihood ratio of a term: for each example, and whatever their number (chance reaches it once in 2,000 terms).
+RATIO, LEAST_RATIO = 0.01, 12.0
 BLOCK = 64
 NEIGHBOURS = 15
 EVIDENCE = 3
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         e = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
         a, b, t = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
         ratio = 2 * (e(a, n1 * (a + b) / t) + e(n1 - a, n1 * (t - a - b) / t) + e(b, n0 * (a + b) / t) + e(n0 - b, n0 * (t - a - b) / t))
-        best = seen.withColumn("r", ratio).where(F.col("r") >= RATIO).orderBy(F.desc("r"), F.desc(F.length(F.rtrim(F.col("unit"), F.lit("*")))), "unit", "level").limit(4 * TERMS).collect()
+        best = seen.withColumn("r", ratio).where(F.col("r") >= max(LEAST_RATIO, RATIO * t)).orderBy(F.desc("r"), F.desc(F.length(F.rtrim(F.col("unit"), F.lit("*")))), "unit", "level").limit(4 * TERMS).collect()
         alike: dict[tuple[int, int, int], list[str]] = {}
         for r in best:  # a beginning that says the same as a longer unit adds nothing
             same = alike.setdefault((r["a"], r["b"], r["level"]), [])

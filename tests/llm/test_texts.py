@@ -196,3 +196,13 @@ def test_toxicity_learns_and_index_is_exact(spark):
     nothing = toxicity.toxicity_scores(df, lab.limit(0)).collect()
     assert {(r["score"], r["predicted"]) for r in nothing} == {(0.0, 0)}
     assert toxicity.toxicity_scores(df.limit(0), lab).collect() == []
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    rows, labels = toxic_corpus(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    model = toxicity.fit(df, lab)
+    assert {u for u, _ in model.vocabulary} & {"vile", "awful", "nasty", "rotten"}
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity_scores(df, lab).collect()}
+    assert sum(found[i] for i in range(0, 60, 5)) >= 9 and sum(found[i] for i in range(60) if i % 5) <= 5
