@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: column picking, shared storage, row keys, Arrow row streams."""
+"""What the operators of this subpackage share: column picking, shared storage, row keys, Arrow row and word streams."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +86,45 @@ def rows_of(batches: Iterator, step: int = 256) -> Iterator[list[list]]:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield [c.to_pylist() for c in part.columns]
+
+
+#: Bytes of text that are handled at once, where a text isn't longer by itself.
+SLICE = 8 << 20
+
+
+def text_slices(batches: Iterator, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with about ``size`` bytes in a text column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def split_texts(texts: pa.Array, mark: str, pattern: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Texts cut at a mark (at a pattern's matches): codes of all parts in order, the distinct parts, and where each text's parts end.
+
+    Null texts count as empty.
+    """
+    cut = (pc.split_pattern_regex if pattern else pc.split_pattern)(pc.fill_null(texts, ""), mark)
+    coded = cut.flatten().dictionary_encode()
+    ends = cut.offsets.to_numpy()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), (ends[1:] - ends[0]).astype(np.int64)
+
+
+def words_of(texts: pa.Array, not_word: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """``split_texts`` at a pattern, without empty parts."""
+    codes, parts, ends = split_texts(texts, not_word, True)
+    if "" in parts:
+        kept = codes != parts.index("")
+        ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+        codes = codes[kept]
+    return codes, parts, ends
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions starts[i], starts[i] + 1, ... of lengths[i] items for each i, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
