@@ -1,18 +1,21 @@
 """Exact top-k search by inner product: distributed histogram selection.
 
-Vectors are quantised: each component x becomes floor(scale * x). Queries are taken in blocks of ``QUERIES`` (in
-ascending id, so a block's size is bounded), each sent to all tasks, which score every candidate against it by
-matrix products and count scores into ``BINS`` equal bins of the range in which a query's k-th score is known to
-lie. The bins of all tasks are summed; the bin of the k-th score becomes the next range, until it holds one value.
-Then everything is scored once more: scores above the k-th value stay, and of the scores equal to it the smallest
-ids, as many as are still needed. A task hands on at most k rows for a query, which loses nothing.
-
-A query's own row is left out. Products are exact: in doubles while they are below 2**53, else in integers.
+Vectors are quantised: each component x becomes floor(scale * x). Candidates are packed into blocks of ``ROWS`` and
+queries into blocks of ``QUERIES``, each block one row; candidate blocks are dealt into cells, query blocks are sent to
+every cell, and a join on the cell brings them together: no block of queries waits for another, and a task holds the
+candidates of a cell while query blocks pass by. Every round scores everything by matrix products and counts, for each
+query, the scores in ``BINS`` equal bins of the range in which its k-th score is known to lie. The bins of all tasks
+are summed; the bin of the k-th score becomes the next range, until it holds one value. Then everything is scored
+once more: scores above the k-th value stay, and of the scores equal to it the smallest ids, as many as are still
+needed. From a pair of blocks a query needs at most the bins of its k highest scores there, and k rows: more are never
+handed on, which loses nothing. The rounds depend on the range of scores alone, not on the number of queries.
+
+Products are exact: in doubles while they are below 2**53, else in integers.
 
 Defined results: vectors that are null, empty, or hold null, NaN or infinite components take no part, nor do rows
-without id; vectors of different length don't meet; of rows with one id the one with the largest vector (by its
-components in order) counts; ties go to the smaller id; scores outside of 64 bits are held at their ends; an empty
-table gives no rows; further columns are ignored.
+without id; vectors of different length don't meet. Every row counts, repeated ids and repeated rows too: a row is a
+candidate of every query but itself, and each query row has its own result. Ties go to the smaller id; scores
+outside of 64 bits are held at their ends; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,138 +31,110 @@ from tessella.llm.common import narrow, stored
 
 K = 5
 SCALE = 256
-#: Queries in a block; a task's histogram has QUERIES x BINS counts.
-QUERIES = 1024
-BINS = 512
-#: Candidates scored at once.
-ROWS = 1024
+#: Queries and candidates in a block, and bins of a range: a comparison holds QUERIES x (ROWS + BINS) numbers.
+QUERIES, ROWS, BINS = 512, 2048, 4096
+#: Candidate blocks of a cell, and the most cells there are; beyond, cells have more blocks.
+BLOCKS, CELLS = 4, 4096
 _EXACT, _LONG = 1 << 53, (1 << 63) - 1
 
 
 def usable_vectors(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """vec_id, v of the rows that take part."""
     v = F.col("v")
-    good = narrow(rows, **{vec_id: "long", vector: "array<double>"}).toDF("vec_id", "v").where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
-    return good.groupBy("vec_id").agg(F.max("v").alias("v"))
+    return narrow(rows, **{vec_id: "long", vector: "array<double>"}).toDF("vec_id", "v").where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
 
 
-def _quantised(vectors: list[list[float]], scale: float) -> np.ndarray:
+def _quantised(m: np.ndarray, scale: float) -> np.ndarray:
     """A matrix of whole numbers: doubles, or Python integers where doubles may be inexact in products."""
-    m = np.floor(np.array(vectors, np.float64) * scale)
-    top = float(np.abs(m).max(initial=0))
+    with np.errstate(over="ignore"):
+        q = np.floor(m * scale)
+    top = float(np.abs(q).max(initial=0))
     if not math.isfinite(top) or top * top * m.shape[1] >= _EXACT:
-        return np.array([[math.floor(scale * x) if math.isfinite(scale * x) else int(scale) * int(x) for x in v] for v in vectors], object)
-    return m
+        return np.array([[math.floor(scale * x) if math.isfinite(scale * x) else int(scale) * int(x) for x in v] for v in m.tolist()], object)
+    return q
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products as int64, held at the ends of 64 bits."""
+    """Inner products, as doubles where they are exact, else as int64 held at the ends of 64 bits."""
     if q.dtype != object and c.dtype != object:
         top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
         if top < _EXACT:
-            return (q @ c.T).astype(np.int64)
+            return q @ c.T
     whole = lambda m: np.array([[int(x) for x in r] for r in m], object)
     return np.clip(whole(q) @ whole(c).T, -_LONG - 1, _LONG).astype(np.int64)
 
 
-def _bins(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """The bin of each score: 0 below lo, BINS + 1 above hi."""
-    lo, hi, width = lo[:, None], hi[:, None], width[:, None]
-    inside = (s >= lo) & (s <= hi)  # compared before subtracted: no overflow
-    away = np.where(inside, s, lo).astype(np.uint64) - lo.astype(np.uint64)
-    return np.where(s < lo, 0, np.where(s > hi, BINS + 1, (away // width.astype(np.uint64)).astype(np.int64) + 1))
+def _widths(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """log2 of the width of the bins that cover lo to hi."""
+    return np.array([max(0, (h - l).bit_length() - (BINS.bit_length() - 1)) for l, h in zip(lo.tolist(), hi.tolist(), strict=True)], np.int64)
 
 
-def _blocks(batches, scale: float):
-    """(ids, matrix) of up to ROWS candidates of equal length."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS).to_pydict()
-            by_length: dict[int, list[int]] = {}
-            for i, v in enumerate(part["v"]):
-                by_length.setdefault(len(v), []).append(i)
-            for some in by_length.values():
-                yield np.array([part["vec_id"][i] for i in some], np.int64), _quantised([part["v"][i] for i in some], scale)
-
-
-def _own_out(ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    return queries[:, None] == ids[None, :]
-
-
-def _search_block(candidates: DataFrame, query_ids: np.ndarray, query_rows: list[list[float]], k: int, scale: float) -> DataFrame:
-    """query_id, vec_id, score: what each task hands on for a block of queries of equal length."""
-    spark = candidates.sparkSession
-    q = _quantised(query_rows, scale)
-    dims, n = q.shape[1], len(query_ids)
-    same = candidates.where(F.size("v") == dims)
-    widest = same.select(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0] or 0.0
-    top = min(_LONG, dims * (int(float(max(abs(int(x)) for x in q.ravel()))) + 1) * (int(scale * min(widest, 1e300)) + 1))
-    sent = spark.sparkContext.broadcast((query_ids, q))
-    lo, hi = np.full(n, -top, np.int64), np.full(n, top, np.int64)  # the k-th score is in lo..hi
-    need = np.full(n, k, np.int64)  # of the scores in lo..hi the need-th is the k-th; 0: fewer than k scores, all stay
-    first = True
-    while True:
-        span = (hi.astype(object) - lo.astype(object)) + 1
-        width = np.array([-(-int(x) // BINS) for x in span], np.int64)
-        active = (span > 1) & (need > 0)
-        if not active.any():
-            break
-        state = spark.sparkContext.broadcast((lo.copy(), hi.copy(), width))
-
-        def count(batches, state=state):
-            ids_q, mat = sent.value
-            low, high, wide = state.value
-            total = np.zeros((len(ids_q), BINS + 2), np.int64)
-            offset = np.arange(len(ids_q))[:, None] * (BINS + 2)
-            for ids, c in _blocks(batches, scale):
-                b = _bins(_scores(mat, c), low, high, wide)
-                b[_own_out(ids, ids_q)] = 0
-                total += np.bincount((b + offset).ravel(), minlength=total.size).reshape(total.shape)
-            qi, bi = np.nonzero(total[:, 1 : BINS + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int64()), pa.array(bi, pa.int64()), pa.array(total[qi, bi + 1])], names=["q", "bin", "n"])
-
-        summed = same.mapInArrow(count, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("q").orderBy(F.desc("bin"))
-        reached = summed.withColumn("upto", F.sum("n").over(down)).join(spark.createDataFrame([(i, int(x)) for i, x in enumerate(need) if active[i]], "q long, need long"), "q")
-        # the first bin, from above, that reaches the count needed; at most one row for each query of the block
-        hit = reached.where("upto >= need AND upto - n < need").select("q", "bin", (F.col("need") - F.col("upto") + F.col("n")).alias("need")).collect()
-        found = np.zeros(n, bool)
-        for r in hit:
-            i = r["q"]
-            found[i], need[i] = True, r["need"]
-            a = int(lo[i]) + int(r["bin"]) * int(width[i])
-            hi[i], lo[i] = min(int(hi[i]), a + int(width[i]) - 1), a
-        if first:
-            need[active & ~found] = 0
-        first = False
-    kth = np.where(need > 0, lo, -_LONG - 1)
+def _bins(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The bin of each score, from 0; -1 out of lo to hi. Divisions by powers of two, so exact."""
+    lo, hi, wide = lo[:, None], hi[:, None], wide[:, None]
+    if s.dtype == np.float64 and (np.abs(lo) < _EXACT // 2).all() and (np.abs(hi) < _EXACT // 2).all():
+        b = np.floor((s - lo) * np.ldexp(1.0, -wide)).astype(np.int64)
+    else:
+        s = s.astype(np.int64)
+        b = ((np.where(s >= lo, s, lo).astype(np.uint64) - lo.astype(np.uint64)) >> wide.astype(np.uint64)).astype(np.int64)
+    return np.where((s >= lo) & (s <= hi), b, -1)
+
+
+def _matrix(values: pa.ListScalar, dims: int) -> np.ndarray:
+    return values.values.to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _packed(rows: DataFrame, size: int, columns: list[str]) -> DataFrame:
+    """Blocks of at most about ``size`` rows of one length: dims, block, blocks (of the length), the columns as arrays and v flattened."""
+    counts = F.broadcast(rows.groupBy("dims").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))  # a row for each length of vectors
+    dealt = rows.join(counts, "dims").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    lists = dealt.groupBy("dims", "blocks", "block").agg(F.collect_list(F.struct(*columns, "v")).alias("x"))
+    return lists.select("dims", "blocks", "block", *[F.col(f"x.{c}").alias(c) for c in columns], F.flatten("x.v").alias("v"))
 
-    def select(batches):
-        ids_q, mat = sent.value
-        best_s = np.zeros((len(ids_q), 0), np.int64)
-        best_v = np.zeros((len(ids_q), 0), np.int64)
-        for ids, c in _blocks(batches, scale):
-            s = _scores(mat, c)
-            s = np.concatenate([best_s, s], axis=1)
-            v = np.concatenate([best_v, np.broadcast_to(ids, (len(ids_q), len(ids)))], axis=1)
-            own = np.concatenate([best_v == _NOBODY, _own_out(ids, ids_q)], axis=1)
-            stays = (s >= kth[:, None]) & ~own
-            # by score downwards, then id upwards, those that stay first; of them k rows at most
-            rows = np.nonzero(stays.any(axis=1))[0]
-            keep_s, keep_v = np.zeros((len(ids_q), k), np.int64), np.full((len(ids_q), k), _NOBODY)
-            for i in rows.tolist():
-                at = np.nonzero(stays[i])[0]
-                order = at[np.lexsort((v[i, at], ~s[i, at]))][:k]
-                keep_s[i, : len(order)], keep_v[i, : len(order)] = s[i, order], v[i, order]
-            best_s, best_v = keep_s, keep_v
-        qi, at = np.nonzero(best_v != _NOBODY)
-        yield pa.RecordBatch.from_arrays([pa.array(ids_q[qi]), pa.array(best_v[qi, at]), pa.array(best_s[qi, at])], names=["query_id", "vec_id", "score"])
-
-    return same.mapInArrow(select, "query_id long, vec_id long, score long")
-
-
-#: Stands for no candidate in a task's lists; no vector may have this id.
-_NOBODY = -_LONG - 1
+
+def _paired(state: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each block of queries beside each block of candidates of its length."""
+    cells = lambda n: F.least(F.ceil(n / BLOCKS), F.lit(CELLS)).cast("int")
+    packed = _packed(state, QUERIES, ["row", "lo", "hi", "need"]).drop("blocks", "block").withColumnsRenamed({"row": "q_row", "v": "q_v"})
+    sizes = F.broadcast(blocks.select("dims", cells(F.col("blocks")).alias("cells")).distinct())
+    sent = packed.join(sizes, "dims").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    own = blocks.select("dims", F.pmod(F.col("block"), cells(F.col("blocks"))).alias("cell"), "row", "vec_id", F.col("v").alias("c_v"))
+    return sent.hint("merge").join(own, ["dims", "cell"]).select("dims", "q_row", "lo", "hi", "need", "q_v", "row", "vec_id", "c_v")
+
+
+def _compared(batches, scale: float):
+    """Of each pair of blocks: queries' rows, lo, hi, need, candidates' ids, and scores (own rows marked by a mask)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            dims, *lists = (c[i] for c in batch.columns)
+            q_row, lo, hi, need = (x.values.to_numpy() for x in lists[:4])
+            row, ids = lists[5].values.to_numpy(), lists[6].values.to_numpy()
+            s = _scores(_quantised(_matrix(lists[4], dims.as_py()), scale), _quantised(_matrix(lists[7], dims.as_py()), scale))
+            yield q_row, lo, hi, need, ids, s, q_row[:, None] == row[None, :]
+
+
+def _refined(state: DataFrame, blocks: DataFrame, k: int, scale: float) -> DataFrame:
+    """The state after one round: lo, hi is the bin of the k-th score, need its place among the scores of that bin."""
+
+    def count(batches):
+        for q_row, lo, hi, need, _, s, own in _compared(batches, scale):
+            wide = _widths(lo, hi)
+            b = _bins(s, lo, hi, wide)
+            b[own | (need == 0)[:, None]] = -1
+            n = np.bincount((b + 1 + np.arange(len(lo))[:, None] * (BINS + 1)).ravel(), minlength=len(lo) * (BINS + 1)).reshape(len(lo), -1)[:, 1:]
+            above = np.cumsum(n[:, ::-1], axis=1)[:, ::-1] - n
+            qi, bi = np.nonzero((n > 0) & (above < k))
+            low = lo[qi] + (bi << wide[qi])
+            yield pa.RecordBatch.from_arrays([pa.array(q_row[qi]), pa.array(low), pa.array(low + ((1 << wide[qi]) - 1)), pa.array(n[qi, bi])], names=["row", "lo", "hi", "n"])
+
+    summed = _paired(state, blocks).mapInArrow(count, "row long, lo long, hi long, n long").groupBy("row", "lo", "hi").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("row").orderBy(F.desc("lo")))
+    reached = summed.withColumn("upto", upto).select("row", F.col("lo").alias("new_lo"), F.col("hi").alias("new_hi"), "n", "upto")
+    hit = state.select("row", F.col("need").alias("wanted")).join(reached, "row").where("upto >= wanted AND upto - n < wanted").select("row", "new_lo", "new_hi", (F.col("wanted") - F.col("upto") + F.col("n")).alias("new_need"))
+    # a query that has fewer than k scores needs none: all stay
+    found = F.col("new_need").isNotNull()
+    new = lambda c: F.when(found, F.col(f"new_{c}"))
+    return state.join(hit, "row", "left").select("row", "vec_id", "dims", "v", new("lo").otherwise(F.col("lo")).alias("lo"), F.when(found, F.least("new_hi", "hi")).otherwise(F.col("lo")).alias("hi"), F.coalesce("new_need", F.lit(0)).alias("need"))
 
 
 def top_k(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", is_query: str = "vec_id % 50 = 0", k: int = K, scale: float = SCALE) -> DataFrame:
@@ -167,36 +142,36 @@ def top_k(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", is
 
     ``is_query`` is a condition on ``vec_id``.
     """
-    spark = rows.sparkSession
-    candidates = stored(usable_vectors(rows, vec_id, vector), "vectors")
-    queries = candidates.where(is_query)
-    parts, last = [], None
-    while True:
-        page = queries if last is None else queries.where(F.col("vec_id") > last)
-        block = page.orderBy("vec_id").limit(QUERIES).collect()
-        if not block:
-            break
-        last = block[-1]["vec_id"]
-        for dims in sorted({len(r["v"]) for r in block}):
-            own = [r for r in block if len(r["v"]) == dims]
-            found = _search_block(candidates, np.array([r["vec_id"] for r in own], np.int64), [list(r["v"]) for r in own], k, scale)
-            rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-            parts.append(stored(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found"))
-        if len(block) < QUERIES:
-            break
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    vectors = stored(usable_vectors(rows, vec_id, vector).withColumns({"row": F.monotonically_increasing_id(), "dims": F.size("v")}), "vectors")
+    blocks = stored(_packed(vectors, ROWS, ["row", "vec_id"]), "blocks")
+    widest = F.array_max(F.transform("v", F.abs)) * scale + 1
+    tops = F.broadcast(vectors.groupBy("dims").agg(F.max(widest).alias("top")))  # a row for each length of vectors
+    top = F.col("dims") * F.col("top") * widest * (1 + 1e-9) + 1
+    end = F.when(top >= 9.2e18, F.lit(_LONG)).otherwise(F.least(top, F.lit(9.2e18)).cast("long"))
+    state = stored(vectors.where(is_query).join(tops, "dims").select("row", "vec_id", "dims", "v", (-end - F.when(end == _LONG, 1).otherwise(0)).alias("lo"), end.alias("hi"), F.lit(k).cast("long").alias("need")), "state")
+    while not state.where("need > 0 AND hi > lo").isEmpty():
+        state = stored(_refined(state, blocks, k, scale), "state")
+
+    def select(batches):
+        for q_row, lo, _, need, ids, s, own in _compared(batches, scale):
+            stays = ((s >= lo[:, None]) | (need == 0)[:, None]) & ~own
+            qi, ci = np.nonzero(stays)
+            score, names = s[qi, ci].astype(np.int64), ids[ci]
+            order = np.lexsort((names, ~score, qi))
+            qi, score, names = qi[order], score[order], names[order]
+            kept = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+            yield pa.RecordBatch.from_arrays([pa.array(q_row[qi[kept]]), pa.array(names[kept]), pa.array(score[kept])], names=["row", "vec_id", "score"])
+
+    found = _paired(state, blocks).mapInArrow(select, "row long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.join(state.select("row", F.col("vec_id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-      FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS r, q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.r <> q.r AND len(c.e) = len(q.e)),
+n AS (SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 5
 """

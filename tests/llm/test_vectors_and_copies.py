@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -12,16 +13,12 @@ from tessella.llm import decontaminate, near_copies, simhash_dedup, topk_search
 
 
 def best(rows, k=5):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            ok[i] = max(ok.get(i, v), v)
-    q = {i: [math.floor(256 * x) for x in v] for i, v in ok.items()}
+    q = [(i, [math.floor(256 * x) if math.isfinite(256 * x) else 256 * int(x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i in q:
+    for r, (i, v) in enumerate(q):
         if i % 50 == 0:
-            s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q[i], w)))), j) for j, w in q.items() if j != i and len(w) == len(q[i]))[:k]
-            out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+            s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), j) for c, (j, w) in enumerate(q) if c != r and len(w) == len(v))[:k]
+            out += [(i, n + 1, j, -x) for n, (x, j) in enumerate(s)]
     return sorted(out)
 
 
@@ -31,14 +28,26 @@ def test_top_k(spark, big, monkeypatch):
     vec = lambda: [rng.uniform(-1, 1) * big for _ in range(4)]
     same = vec()
     rows = [(i, same if 100 < i < 130 else vec()) for i in range(220)]
-    rows += [(7, rows[7][1]), (50, [5.0 * big, *rows[50][1][1:]]), (300, None), (301, [1.0, None, 2.0, 3.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (None, vec()), (350, [1.0, 2.0]), (400, []), (-50, vec())]
+    rows += [(7, rows[7][1]), (50, [5.0 * big, *rows[50][1][1:]]), (100, rows[100][1]), (1, rows[1][1]), (1, vec()), (300, None), (301, [1.0, None, 2.0, 3.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (None, vec()), (350, [1.0, 2.0]), (400, []), (-50, vec())]
     monkeypatch.setattr(topk_search, "QUERIES", 3)
+    monkeypatch.setattr(topk_search, "ROWS", 16)
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, v int").repartition(3)
-    got = sorted(tuple(r) for r in topk_search.top_k(df).collect())
-    assert got == best(rows)
+    assert sorted(tuple(r) for r in topk_search.top_k(df).collect()) == best(rows)
     assert topk_search.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_equals_its_sql(spark):
+    """Repeated ids and rows, ties and odd vectors, by the SQL that the driver compares with."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(2)
+    rows = [(i % 120, [round(rng.uniform(-1, 1), 1) for _ in range(3)]) for i in range(300)] + [(0, [1.0, 1.0, 1.0])] * 3 + [(50, None), (51, []), (52, [1.0, None, 0.0]), (None, [1.0, 1.0, 1.0])]
+    embeddings = pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))})  # noqa: F841
+    want = sorted(duckdb.connect().execute(topk_search.ORACLE).fetchall())
+    got = sorted(tuple(r) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    key = lambda rs: sorted((q, n, v, s) for q, n, v, s in rs)
+    assert key(got) == key(want) and len(got) > 15
+
+
 def plain_fingerprint(text):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({i: " " for i in range(9, 14)}).split(" ") if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
