@@ -17,7 +17,8 @@ Pairs are compared in two passes, so that groups of many copies don't bring all
 the first takes for each node of a pair of tiles one likely partner; the second takes all pairs that pass the
 prefilter and whose nodes the verified links of the first don't connect yet.
 
-The comparisons still grow with the square of a class's nodes. Defined results: texts without words are copies of
+The comparisons still grow with the square of a class's nodes, and what is shuffled with that square divided by
+``GROUP``. Defined results: texts without words are copies of
 one another; null text counts as empty; of each component the row with the smallest (doc_id, row key) stays, nulls
 last; rows that repeat doc_id and text are one document, of which one row stays.
 """
@@ -43,7 +44,7 @@ SHINGLE = 5
 SIGNATURE = 64
 #: Values of the signature that a pair to be verified has in common at least, and that a likely pair has.
 LOOSE, LIKELY = 32, 50
-GROUP = 32_768
+GROUP = 131_072
 TILE = 1024
 _LONGS = SIGNATURE // 8
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)

@@ -5,15 +5,16 @@ Fingerprints: A-Z in lower case, words are runs of other characters than blank,
 with seed 42; a bit is set where over half of the hashes have it. A text without words has fingerprint zero.
 
 Fingerprints link at ``radius`` or fewer differing bits. Equal fingerprints are one node, its id their smallest
-doc_id. Nodes are dealt into cells by the population counts of the four 16-bit quarters, and a cell into tiles of
-at most ``TILE`` fingerprints. Differing bits are at least the sum of the differences of those counts, so only
-tiles of cells whose counts differ by the radius or less in sum are compared, by numpy exclusive-or and bit counts,
-each pair of tiles once. A comparison returns a spanning forest of the links it finds, not the links themselves:
+doc_id. Nodes are dealt into cells by the population counts of the four 16-bit quarters, a cell into packs of at most
+about ``PACK`` fingerprints, and a pack into tiles of ``TILE``. Differing bits are at least the sum of the differences of
+those counts, so only cells whose counts differ by the radius or less in sum are compared: each pair of their packs
+once, dealt out by the pair, tile by tile, by numpy exclusive-or and bit counts. A comparison returns a spanning forest of the links it finds, not the links themselves:
 no component is lost, and a dense group costs as many rows as it has members. Components then come from rounds of
 smallest-neighbour labels with pointer jumping, each round written to the shared folder.
 
 The number of tile pairs compared still grows with the square of the number of distinct fingerprints, as the
-method does; the counts of the quarters leave a few hundredths of them at radius 3.
+method does; the counts of the quarters leave a few hundredths of them at radius 3. What is shuffled is that number
+divided by the fingerprints in a pack.
 
 Defined results: null text counts as empty; a null doc_id is larger than any other and is the component's id only
 where the component has no other; repeated rows give repeated results; further columns are ignored or passed on.
@@ -33,8 +34,8 @@ from tessella.llm.common import narrow, row_key, rows_of, stored
 
 RADIUS = 3
 WORDS = 3
-#: Fingerprints in a tile: a comparison of two tiles holds TILE x TILE x 9 bytes.
-TILE = 2048
+#: Fingerprints in a tile: a comparison of two tiles holds TILE x TILE x 9 bytes; and in a pack of tiles that is dealt out.
+TILE, PACK = 2048, 65_536
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: The bytes that part words.
@@ -109,25 +110,33 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF))) for q in range(4)]
     cell = counts[0] + 17 * counts[1] + 289 * counts[2] + 4913 * counts[3]
     placed = nodes.select("fp", cell.cast("long").alias("cell"))
-    # tiles of about half of TILE, by hash; their number per cell follows from the cell's own count
-    sizes = stored(placed.groupBy("cell").agg(F.ceil(F.count("*") / (TILE // 2)).alias("tiles")), "cells")
-    tiled = placed.join(sizes, "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")))
-    tiles = stored(tiled.groupBy("cell", "tile").agg(F.array_sort(F.collect_list("fp")).alias("fps")), "tiles")
+    # packs of at most about PACK, by hash; their number per cell follows from the cell's own count. There are 17**4 cells at most
+    sizes = stored(placed.groupBy("cell").agg(F.ceil(F.count("*") / (PACK // 2)).cast("int").alias("packs")), "cells")
+    packed = placed.join(F.broadcast(sizes), "cell").withColumn("pack", F.pmod(F.xxhash64("fp"), F.col("packs")).cast("int"))
+    packs = stored(packed.groupBy("cell", "pack").agg(F.array_sort(F.collect_list("fp")).alias("fps")), "packs")
 
-    near = _near_cells(radius)
-    steps = F.array(*[F.struct(*[F.lit(x).alias(f"d{q}") for q, x in enumerate(d)]) for d in near])
     quarters = [F.floor(F.col("cell") / 17**q) % 17 for q in range(4)]
-    left = tiles.select("cell", "tile", "fps", F.explode(steps).alias("d"))
-    reached = [quarters[q] + F.col(f"d.d{q}") for q in range(4)]
-    inside = reached[0].between(0, 16) & reached[1].between(0, 16) & reached[2].between(0, 16) & reached[3].between(0, 16)
-    left = left.where(inside).select(F.col("cell").alias("c1"), F.col("tile").alias("t1"), F.col("fps").alias("f1"), (reached[0] + 17 * reached[1] + 289 * reached[2] + 4913 * reached[3]).alias("cell"))
-    pairs = left.join(tiles.select("cell", F.col("tile").alias("t2"), F.col("fps").alias("f2")), "cell").where("c1 != cell OR t1 <= t2").select("f1", "f2")
+    others = F.broadcast(sizes.select(F.col("cell").alias("other"), F.col("packs").alias("others")))
+
+    def sent(sign: int, own: str, their: str) -> DataFrame:
+        """Each pack once for each pair of packs that it is in: this side's cell and pack, the other side's, and fps."""
+        steps = F.array(*[F.struct(*[F.lit(sign * x).alias(f"d{q}") for q, x in enumerate(d)]) for d in _near_cells(radius)])
+        reached = [quarters[q] + F.col(f"d.d{q}") for q in range(4)]
+        inside = reached[0].between(0, 16) & reached[1].between(0, 16) & reached[2].between(0, 16) & reached[3].between(0, 16)
+        near = packs.select("cell", "pack", "fps", F.explode(steps).alias("d")).where(inside).withColumn("other", reached[0] + 17 * reached[1] + 289 * reached[2] + 4913 * reached[3])
+        each = near.join(others, "other").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        # two packs of one cell meet once
+        once = (F.col("cell") != F.col("other")) | (F.col("pack") <= F.col("at") if sign > 0 else F.col("at") <= F.col("pack"))
+        return each.where(once).select(F.col("cell").alias(f"c{own}"), F.col("pack").alias(f"p{own}"), F.col("other").alias(f"c{their}"), F.col("at").alias(f"p{their}"), F.col("fps").alias(f"f{own}"))
+
+    # dealt by the pair of packs: no cell, however full, meets in one task
+    pairs = sent(1, "1", "2").join(sent(-1, "2", "1"), ["c1", "p1", "c2", "p2"]).select("f1", "f2")
 
     def run(batches):
-        for one, two in rows_of(batches, 64):
+        for batch in batches:
             out_a, out_b = [], []
-            for x, y in zip(one, two, strict=True):
-                a, b = (np.array(v, dtype=np.int64).view(np.uint64) for v in (x, y))
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = (v.values.to_numpy().view(np.uint64) for v in (x, y))
                 for i in range(0, len(a), TILE):
                     for j in range(0, len(b), TILE):
                         p, q = a[i : i + TILE], b[j : j + TILE]
