@@ -90,7 +90,8 @@ def test_simhash_classes(spark):
 
 def test_tiles_find_all_links(spark, monkeypatch):
     """Random fingerprints near one another, over several tiles of a cell."""
-    monkeypatch.setattr(simhash_dedup, "TILE", 16)
+    monkeypatch.setattr(simhash_dedup, "TILE", 8)
+    monkeypatch.setattr(simhash_dedup, "PACK", 32)
     rng = random.Random(4)
     fps = set()
     for _ in range(12):
@@ -143,16 +144,17 @@ def test_near_copies_are_verified_at_the_bound(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
-def test_masks_miss_no_pattern():
-    """Whichever two positions of a window differ, one mask ignores both."""
+@pytest.mark.parametrize("size", range(1, decontaminate.WINDOW + 1))
+def test_masks_miss_no_pattern(size):
+    """Whichever positions of a window differ, as many as may, one mask ignores them all."""
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 2**63, decontaminate.WINDOW, dtype=np.uint64)
-    own = [h[0] for _, h in decontaminate.seeds(a)]
-    for n in range(decontaminate.SUBSTITUTIONS + 1):
-        for at in itertools.combinations(range(decontaminate.WINDOW), n):
+    a = rng.integers(0, 2**63, size, dtype=np.uint64)
+    own = [h[0] for _, h in decontaminate.seeds(a, (size,))]
+    for n in range(decontaminate.allowed(size) + 1):
+        for at in itertools.combinations(range(size), n):
             b = a.copy()
             b[list(at)] += np.uint64(1)
-            assert any(x == h[0] for x, (_, h) in zip(own, decontaminate.seeds(b)))
+            assert any(x == h[0] for x, (_, h) in zip(own, decontaminate.seeds(b, (size,))))
 
 
 def overlapping(docs, items):
@@ -168,27 +170,28 @@ def overlapping(docs, items):
         w = tok(t)
         for item, ids in first.items():
             n = len(item)
-            size, allowed = (13, 2) if n >= 13 else (n, 0)
-            if n >= 5 and any(sum(x != y for x, y in zip(w[i : i + size], item[j : j + size])) <= allowed for i in range(len(w) - size + 1) for j in range(n - size + 1)):
+            size = min(n, 13)
+            allowed = size * 2 // 13
+            if n and any(sum(x != y for x, y in zip(w[i : i + size], item[j : j + size])) <= allowed for i in range(len(w) - size + 1) for j in range(n - size + 1)):
                 out.add((d, min(ids)))
     return out
 
 
 def test_decontamination(spark):
     rng = random.Random(7)
-    items = [(i, " ".join(words(rng, n))) for i, n in enumerate([5, 8, 12, 13, 20, 30, 4, 0])] + [(50, None), (None, "a b c d e f g")]
-    items += [(9, items[4][1])]
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate([5, 8, 12, 13, 20, 30, 4, 0, 1, 2, 3, 6, 7, 9, 10, 11])] + [(50, None), (None, "a b c d e f g")]
+    items += [(90, items[4][1]), (91, items[4][1] + " and more of it"), (92, " ".join(items[5][1].split()[5:22]) + " other"), (93, items[2][1] + " x")]
     docs = []
-    for d in range(80):
+    for d in range(160):
         w = words(rng, rng.randint(0, 80))
         if d % 2:
-            part = items[d % 8][1].split()
-            for _ in range(rng.randint(0, 3)):
+            part = items[d % 16][1].split()
+            for _ in range(rng.randint(0, 2)):
                 if part:
                     part[rng.randrange(len(part))] = "swap"
             w[len(w) // 2 : len(w) // 2] = part
         docs.append((d, " ".join(w).upper() if d % 5 == 0 else ", ".join(w)))
-    docs += [(100, None), (101, ""), (1, docs[1][1]), (None, items[5][1]), (102, "z " * 30000 + items[5][1])]
+    docs += [(200, None), (201, ""), (1, docs[1][1]), (None, items[5][1]), (202, "z " * 30000 + items[5][1])]
     df = spark.createDataFrame([(i, t, "en", 3) for i, t in docs], "doc_id long, text string, lang string, size int")
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, h string")
     want = overlapping(docs, items)
