@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and the novelty of candidates by dictionary-primed zstandard compression.
 
 Patterns find assignments, access keys and long hexadecimal runs. The method adds candidates that stand in a
-sensitive context (after a word such as key, auth or bearer): for each, the text before it is compressed with a
-dictionary of common identifiers and words, without and with the candidate; where the candidate costs nearly as many
-bytes as it has (``NOVELTY``), it repeats neither code nor identifiers and is reported. Both texts begin with the same
-letters (``FILL``), so many that literals are always Huffman-coded: otherwise a candidate that tips the compressor from
-raw to coded literals would shrink the text before it as well, and look cheap. Candidates that overlap a
-pattern's span, are shorter than ``SHORTEST``, or don't mix letters and digits are no candidates.
+sensitive context, a line with a word such as key, auth or bearer: whole tokens of ``SHORTEST`` or more characters. For
+each, the text around it, before and behind, is compressed without and with the candidate, with a dictionary of common
+identifiers and words and of the document's own identifiers (tokens that repeat or look like names in code; no
+candidates). Other places where the candidate itself stands don't count as surroundings. Where it costs ``BITS`` or
+more, and per character ``NOVELTY`` times what a random character of its alphabet has (letters of either case, digits,
+other signs, as far as it uses them), it repeats neither code nor identifiers and is reported. Both texts begin with
+the same letters (``FILL``), so many that literals are always Huffman-coded, by the frequencies of prose: otherwise a
+candidate that tips the compressor from raw to coded literals would shrink the text before it as well, and look
+cheap. Candidates that overlap a pattern's span are no candidates.
 
 Whole texts are searched. Defined results: null text counts as empty and has no span; a row gives a row; further
 columns are ignored. Positions are code points, ends exclusive.
@@ -15,8 +18,12 @@ columns are ignored. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -33,13 +40,17 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make a context sensitive, in lower case.
 SENSITIVE = ("key", "auth", "bearer", "credential", "private", "pwd", "passphrase", "secret", "token", "login", "signature", "session")
-_NEAR = re.compile(rf"(?=((?:{'|'.join(SENSITIVE)})[^\n]{{0,40}}))", re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
-SHORTEST = 16
-#: Code points before a candidate that count as its surroundings.
-AROUND = 2048
-#: Marginal compressed bytes for a byte of the candidate.
-NOVELTY = 0.8
+_SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+SHORTEST = 8
+#: Code points on each side of a candidate that count as its surroundings, besides the document's identifiers.
+AROUND = 1024
+#: Marginal compressed bits: in all, and for each bit of a random string of the candidate's alphabet.
+BITS, NOVELTY = 72, 1.15
+#: The alphabets and their sizes.
+ALPHABETS = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile("[+/_=-]"), 5))
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
+_CODE = re.compile(r"[0-9_]|[a-z][A-Z]")
 #: Identifiers and words that code is full of: the dictionary's content.
 COMMON = """
 import from return class function public private static const void string integer boolean default value values index
@@ -60,10 +71,15 @@ def _squeezer(words: bytes = COMMON) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def marginal_bytes(squeezer: zstandard.ZstdCompressor, around: str, candidate: str) -> int:
-    """Compressed bytes that the candidate adds to its surroundings."""
-    before = FILL + around.encode("utf-8", "surrogatepass")
-    return len(squeezer.compress(before + candidate.encode())) - len(squeezer.compress(before))
+def marginal_bits(squeezer: zstandard.ZstdCompressor, before: str, candidate: str, after: str) -> int:
+    """Compressed bits that the candidate adds to its surroundings."""
+    head, tail = FILL + before.encode("utf-8", "surrogatepass"), after.encode("utf-8", "surrogatepass")
+    return 8 * (len(squeezer.compress(head + candidate.encode() + tail)) - len(squeezer.compress(head + tail)))
+
+
+def random_bits(candidate: str) -> float:
+    """Bits of a random string of the candidate's alphabet and length."""
+    return len(candidate) * math.log2(sum(n for signs, n in ALPHABETS if signs.search(candidate)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,35 +93,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """What lies after each sensitive word, up to 40 characters of its line; windows that meet are one."""
-    out: list[tuple[int, int]] = []
-    for m in _NEAR.finditer(text):
-        s, e = m.span(1)
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
-def novel_spans(text: str, taken: list[tuple[int, int, int]], squeezer: zstandard.ZstdCompressor) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) of what only the method finds; taken: spans that it may not overlap."""
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the tokens of lines with a sensitive word that are long enough and overlap no span of taken."""
+    out, upto = [], 0
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
+        return out
+    for m in _SENSITIVE.finditer(text):
+        if m.start() < upto:
+            continue
+        first = max(upto, text.rfind("\n", 0, m.start()) + 1)
+        upto = text.find("\n", m.end())
+        upto = len(text) if upto < 0 else upto
+        out += [c.span() for c in _CANDIDATE.finditer(text, first, upto) if c.end() - c.start() >= SHORTEST]
+    if not out or not taken:
+        return out
+    # taken is ascending by start; of the spans that start before a candidate's end, one may reach into it
+    reach, starts = list(accumulate((e for *_, e in taken), max)), [s for s, *_ in taken]
+    return [(s, e) for s, e in out if (k := bisect_left(starts, e)) == 0 or reach[k - 1] <= s]
+
+
+def names_of(text: str, without: set[str]) -> bytes:
+    """The document's identifiers."""
+    found = Counter(_NAME.findall(text))
+    return " ".join(w for w, n in found.items() if (n > 1 or _CODE.search(w)) and w not in without).encode()
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) of what only the method finds; taken: spans that it may not overlap, in order."""
+    spans = candidates(text, taken)
+    if not spans:
         return []
-    found: dict[tuple[int, int], None] = {}
-    for first, last in windows(text):
-        for m in _CANDIDATE.finditer(text, first):
-            if m.start() > last:
-                break
-            s, e = m.span()
-            t = m[0]
-            if e - s < SHORTEST or (s, e) in found or not (re.search("[0-9]", t) and re.search("[A-Za-z]", t)) or any(a < e and s < b for a, _, b in taken):
-                continue
-            if marginal_bytes(squeezer, text[max(0, s - AROUND) : s], t) >= NOVELTY * (e - s):
-                found[s, e] = None
-    return [(s, 3, e) for s, e in sorted(found)]
+    own = {text[s:e] for s, e in spans}
+    # a candidate's own parts aren't known from elsewhere
+    squeezer = _squeezer(COMMON + names_of(text, own | {w for c in own for w in _NAME.findall(c)}))
+    found = []
+    for s, e in spans:
+        t = text[s:e]
+        before, after = text[max(0, s - AROUND) : s].replace(t, ""), text[e : e + AROUND].replace(t, "")
+        t = t.lower() if t.isalpha() and t.isupper() else t  # capitals throughout tell nothing
+        if marginal_bits(squeezer, before, t, after) >= max(BITS, NOVELTY * random_bits(t)):
+            found.append((s, 3, e))
+    return found
 
 
 def _said(spans: list[tuple[int, int, int]]) -> str:
@@ -116,12 +145,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans of each row."""
 
     def run(batches):
-        squeezer = _squeezer()
         for doc_ids, texts in rows_of(batches):
             out = {"doc_id": doc_ids, "n_assign": [], "n_access": [], "n_hex": [], "n_novel": [], "base_sha256": [], "spans": []}
             for t in texts:
                 base = base_spans(t or "")
-                more = novel_spans(t or "", base, squeezer)
+                more = novel_spans(t or "", base)
                 kinds = [k for _, k, _ in base]
                 for k, name in enumerate(("n_assign", "n_access", "n_hex")):
                     out[name].append(kinds.count(k))
