@@ -81,5 +81,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS o FRO
 g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM r WHERE o > 1) GROUP BY doc_id),
 j AS (SELECT n.doc_id, raw, coalesce(gone, []) AS gone FROM n LEFT JOIN g USING (doc_id)),
 o AS (SELECT doc_id, raw, gone, array_to_string(list_transform(list_filter(range(1, len(raw) + 1), lambda i: NOT list_contains(gone, i)), lambda i: raw[i]), chr(10)) AS t FROM j)
-SELECT doc_id, len(raw)::INT AS n_lines, len(gone)::INT AS n_removed, length(coalesce(t, ''))::INT AS n_chars, md5(coalesce(t, '')) AS text_md5 FROM o
+SELECT doc_id, coalesce(len(raw), 0)::INT AS n_lines, len(gone)::INT AS n_removed,
+       CASE WHEN raw IS NOT NULL THEN length(coalesce(t, ''))::INT END AS n_chars, CASE WHEN raw IS NOT NULL THEN md5(coalesce(t, '')) END AS text_md5 FROM o
 """

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessella.llm import chat_format, license_scan, line_dedup
@@ -37,6 +38,13 @@ def test_chats_equal_brute_force(spark):
     got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["rendered"]) for r in chat_format.format_chats(df).collect()}
     assert got == chats(rows)
     assert chat_format.format_chats(df.limit(0)).collect() == []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # conversations over several tasks, one turn number or none throughout
+        hot = [(1, None, "user", f"same {i}") for i in range(400)] + [(2, 7, "user", f"same {i}") for i in range(400)] + [(3, None, "user", f"same {i}") for i in range(401)]
+        got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["rendered"]) for r in chat_format.format_chats(spark.createDataFrame(hot, "conv_id long, turn long, role string, text string")).collect()}
+        assert got == chats(hot)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def dedup(rows):
@@ -129,7 +137,38 @@ You may obtain a copy of the License at
 """
 
 
-@pytest.mark.parametrize(("text", "licenses"), [(MIT, "MIT:text"), (BSD, "BSD-2-Clause:text"), (GPL, "GPL-3.0:header"), (APACHE, "Apache-2.0:header"), ("Code.\n\nThis work is licensed under the GNU Lesser\nGeneral Public License version 3.\n", "LGPL-3.0:notice")])
+BSD3 = BSD + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means.
+"""
+LGPL = GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("GNU\nGeneral", "GNU\nLesser General").replace("version 3", "version 2.1")
+MORE = [
+    (BSD3, "BSD-3-Clause:text"), (ISC, "ISC:text"), (ISC.partition(", provided")[0] + ".", "0BSD:text"), (ZLIB, "Zlib:text"), (EPL, "EPL-2.0:header"), (UNLICENSE, "Unlicense:text"), (LGPL, "LGPL-2.1:header"), (GPL.replace("version 3", "version 2"), "GPL-2.0:header"),
+    (GPL.replace("GNU General", "GNU Affero General").replace("GNU\nGeneral", "GNU\nAffero General"), "AGPL-3.0:header"), ("Apache License\n   Version 2.0, January 2004\n", "Apache-2.0:title"), ("SPDX-License-Identifier: Apache-2.0\n\nint x;", "Apache-2.0:tag"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0-or-later:tag"), (BSD3 + "\nSPDX-License-Identifier: MIT\n" + BSD, "BSD-3-Clause:text,BSD-2-Clause:text,MIT:tag"),
+]
+
+
+@pytest.mark.parametrize(("text", "licenses"), [*MORE, (MIT, "MIT:text"), (BSD, "BSD-2-Clause:text"), (GPL, "GPL-3.0:header"), (APACHE, "Apache-2.0:header"), ("Code.\n\nThis work is licensed under the GNU Lesser\nGeneral Public License version 3.\n", "LGPL-3.0:notice")])
 def test_wrapped_licenses(spark, text, licenses):
     hashes = "".join(f"# {x}\n" for x in text.split("\n"))
     stars = "/*\r\n" + "".join(f" * {x}\r\n" for x in text.split("\n")) + " */\r\nint x;"
@@ -149,3 +188,23 @@ def test_native_plans_have_no_python(spark):
     for out in (line_dedup.line_report(df), license_scan.scan_licenses(df)):
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
+
+
+def test_every_sentence_has_a_stem():
+    assert not [i for i, x in license_scan.SENTENCES.items() if not any(t in w for t in license_scan.STEMS for w in x.split())]
+    assert {i for _, _, seq in license_scan.RULES for i in seq} <= set(license_scan.SENTENCES)
+
+
+def test_sql_says_the_same(spark):
+    """Nulls, repeats, long texts and one-line notices in the SQL that the driver compares with."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [None, "", "a\nb\nc\nd", "a\nb\nc\nd", "\n\n\n", "a\na\na\na", "Released under the MIT License.\nx", "All rights reserved", "w " * 50000 + "\nb\nc\nd", "b\nc\nd"]
+    documents = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})  # noqa: F841
+    df = spark.createDataFrame([(i, t, "x", "spans") for i, t in enumerate(texts)], "doc_id long, text string, sentence_ids string, licenses string")
+    chat = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (3, None, None, None), (3, None, "x", "y"), (None, 1, "u", "v"), (4, 0, "user", "a"), (4, 1, "bot", "b"), (4, 1, "bot", "b"), (5, 0, "user", "w " * 60000)]
+    conversations = pa.table({n: pa.array([r[k] for r in chat], t) for k, (n, t) in enumerate([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])})  # noqa: F841
+    made = spark.createDataFrame(chat, "conv_id long, turn long, role string, text string")
+    for out, sql in ((line_dedup.line_report(df), line_dedup.ORACLE), (license_scan.scan_licenses(df), license_scan.oracle()), (chat_format.format_chats(made), chat_format.ORACLE)):
+        found = duckdb.connect().execute(sql)
+        names = [c[0] for c in found.description]
+        assert sorted(map(tuple, out.select(*names).collect()), key=repr) == sorted(found.fetchall(), key=repr)
