@@ -1,18 +1,19 @@
 """Token-ID output: fixed-width bit packing of a corpus's token ids into shard files.
 
-A shard file holds, little-endian: the magic ``TPK1``, bits an id (the least that hold the vocabulary), ids a block,
-documents, ids and blocks; then each document's id and number of ids, the byte offset of each block from the start
-of the packed part (one more for its end), and the packed blocks. A block holds ``BLOCK`` ids, each in ``bits``
-bits, lowest bit first; so any range of ids is read by its blocks alone and unpacked by numpy at once.
+A shard file holds, little-endian: a head (the magic ``TPK2``, bits an id, the least that hold the vocabulary, and ids a
+block); the packed blocks of ``BLOCK`` ids, each id in ``bits`` bits, lowest bit first; then each document's id and
+number of ids, and the byte offset of each block (one more for the end); then a tail that says how many documents, ids
+and blocks there are and where the document table begins. So a shard is written as it is encoded, block by block, and
+any range of ids is read by its blocks alone and unpacked by numpy at once.
 
 Shards follow one another in ascending doc_id order (null first; equal ids by a hash of their texts): a range
 partitioning deals the documents out, a task encodes its shard, writes it under a name of its own and renames it,
 so that a task that is run again after a loss replaces its file by the same. Files go to the folder that the cluster
-shares, by Arrow's file systems (file, hdfs, s3, gs).
+shares, by Arrow's file systems (file, hdfs, s3, gs). A task holds a slice of texts, a block, and 17 bytes a document.
 
 Texts are encoded by the tokenizers library. Where the tokenizer's file drops white space and splits words from all
-else (as ``word_bpe_49k.json`` does), texts are cut at blanks and line ends, and the library encodes each distinct
-part that a worker hasn't met lately; any other tokenizer gets whole texts.
+else (as ``word_bpe_49k.json`` does), texts are cut at blanks and line ends by Arrow, and the library encodes each
+distinct part that a worker hasn't met lately; any other tokenizer gets whole texts.
 
 Defined results: null text counts as empty and holds the end id alone; a row gives a row, repeated rows too; further
 columns are ignored; an empty table writes no shard and gives no rows.
@@ -25,28 +26,31 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import pairwise
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import narrow, rows_of, shared_path, stored, without_collector
+from tessella.llm.common import narrow, rows_of, shared_path, split_texts, spread, stored, text_slices, without_collector
 
-MAGIC = b"TPK1"
-HEAD = struct.Struct("<4sIQQQQ")
+MAGIC = b"TPK2"
+HEAD = struct.Struct("<4sIQ")
+TAIL = struct.Struct("<QQQQ4s")
 #: Ids in a block.
 BLOCK = 4096
-#: Bytes of input, as the planner estimates them, that a shard aims at; an estimate from UNKNOWN on is none.
-SHARD_BYTES = 32 << 20
-UNKNOWN = 1 << 60
+#: Bytes of text that a shard aims at.
+SHARD_BYTES = 24 << 20
+#: Ids that are read at once; shards whose ids are summed by one task.
+READ, SHARDS = 1 << 20, 4096
 #: Parts of texts whose ids a worker remembers, in each of two generations.
-CACHE = 300_000
+CACHE = 400_000
 #: Characters of the longest part that is remembered.
 LONGEST = 64
 END_ID = 2
@@ -64,28 +68,57 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids in ``bits`` bits each, lowest bit first."""
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    spread = (ids.astype(np.uint64)[:, None] >> np.arange(bits, dtype=np.uint64)).astype(np.uint8) & 1
-    return np.packbits(spread.ravel(), bitorder="little").tobytes()
+    each = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
+    return np.packbits(each.ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     if bits in (8, 16, 32):
         return np.frombuffer(data, f"<u{bits // 8}", n).astype(np.uint32)
-    spread = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    return (spread.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
-
-
-def shard_parts(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[bytes]:
-    """The bytes of a shard file, in pieces."""
-    blocks = -(-len(ids) // BLOCK)
-    size = lambda n: (n * bits + 7) // 8
-    yield HEAD.pack(MAGIC, bits, BLOCK, len(doc_ids), len(ids), blocks)
-    yield np.array([d is not None for d in doc_ids], np.uint8).tobytes()
-    yield np.array([d or 0 for d in doc_ids], "<i8").tobytes()
-    yield lengths.astype("<u8").tobytes()
-    yield np.array([*(k * size(BLOCK) for k in range(blocks)), (blocks - 1) * size(BLOCK) + size(len(ids) - (blocks - 1) * BLOCK) if blocks else 0], "<u8").tobytes()
-    for k in range(blocks):
-        yield pack(ids[k * BLOCK : (k + 1) * BLOCK], bits)
+    each = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
+    return np.packbits(np.pad(each, ((0, 0), (0, 32 - bits))), axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
+
+
+class ShardWriter:
+    """Writes a shard file to a stream, block by block."""
+
+    def __init__(self, out: BinaryIO, bits: int) -> None:
+        self.out, self.bits = out, bits
+        self.rest, self.offsets, self.n_ids = np.zeros(0, np.uint32), [HEAD.size], 0
+        self.known: list[np.ndarray] = []
+        self.named: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        out.write(HEAD.pack(MAGIC, bits, BLOCK))
+
+    def _block(self, ids: np.ndarray) -> None:
+        data = pack(ids, self.bits)
+        self.out.write(data)
+        self.offsets.append(self.offsets[-1] + len(data))
+
+    def add(self, doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Some documents, with the ids of all of them."""
+        self.known.append(doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8))
+        self.named.append(pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False).astype("<i8"))
+        self.lengths.append(lengths.astype("<u8"))
+        self.n_ids += len(ids)
+        ids = np.concatenate([self.rest, ids])
+        whole = len(ids) // BLOCK * BLOCK
+        for at in range(0, whole, BLOCK):
+            self._block(ids[at : at + BLOCK])
+        self.rest = ids[whole:]
+
+    def close(self) -> int:
+        """Writes what is left; the number of documents."""
+        if len(self.rest):
+            self._block(self.rest)
+        table = self.offsets[-1]
+        for parts in (self.known, self.named, self.lengths):
+            for part in parts:
+                self.out.write(part.tobytes())
+        self.out.write(np.array(self.offsets, "<u8").tobytes())
+        docs = sum(map(len, self.known))
+        self.out.write(TAIL.pack(docs, self.n_ids, len(self.offsets) - 1, table, MAGIC))
+        return docs
 
 
 class Shard:
@@ -94,25 +127,27 @@ class Shard:
     def __init__(self, path: str) -> None:
         system, name = _system(path)
         self.file = system.open_input_file(name)
-        magic, self.bits, self.block, docs, self.n_ids, blocks = HEAD.unpack(self.file.read(HEAD.size))
-        if magic != MAGIC:
+        magic, self.bits, self.block = HEAD.unpack(self.file.read(HEAD.size))
+        size = self.file.size()
+        docs, self.n_ids, blocks, table, end = TAIL.unpack(self.file.read_at(TAIL.size, size - TAIL.size))
+        if magic != MAGIC or end != MAGIC:
             raise ValueError(f"{path} isn't a token shard")
-        known = np.frombuffer(self.file.read(docs), np.uint8)
-        named = np.frombuffer(self.file.read(8 * docs), "<i8")
-        self.doc_ids = [int(d) if k else None for d, k in zip(named, known, strict=True)]
-        self.lengths = np.frombuffer(self.file.read(8 * docs), "<u8").astype(np.int64)
-        self.offsets = np.frombuffer(self.file.read(8 * (blocks + 1)), "<u8").astype(np.int64)
-        self.base = self.file.tell()
+        data = self.file.read_at(size - TAIL.size - table, table)
+        known, named = np.frombuffer(data, np.uint8, docs), np.frombuffer(data, "<i8", docs, docs)
+        self.doc_ids = pa.array(named, pa.int64(), mask=known == 0)
+        self.lengths = np.frombuffer(data, "<u8", docs, 9 * docs).astype(np.int64)
+        self.offsets = np.frombuffer(data, "<u8", blocks + 1, 17 * docs).astype(np.int64)
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop-1 of the shard, from the blocks that hold them."""
         if start >= stop:
             return np.zeros(0, np.uint32)
         a, b = start // self.block, (stop - 1) // self.block
-        data = self.file.read_at(int(self.offsets[b + 1] - self.offsets[a]), int(self.base + self.offsets[a]))
-        step = int(self.offsets[a + 1] - self.offsets[a]) if b > a else 0
-        parts = [unpack(data[k * step : (k + 1) * step if a + k < b else len(data)], self.bits, min(self.block, self.n_ids - (a + k) * self.block)) for k in range(b - a + 1)] if self.bits not in (8, 16, 32) else [unpack(data, self.bits, len(data) * 8 // self.bits)]
-        return np.concatenate(parts)[start - a * self.block : stop - a * self.block]
+        first = int(self.offsets[a])
+        data = self.file.read_at(int(self.offsets[b + 1]) - first, first)
+        sizes = [min(self.block, self.n_ids - k * self.block) for k in range(a, b + 1)]
+        cuts = [int(self.offsets[k]) - first for k in range(a, b + 2)]
+        return np.concatenate([unpack(data[x:y], self.bits, n) for (x, y), n in zip(pairwise(cuts), sizes, strict=True)])[start - a * self.block : stop - a * self.block]
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
@@ -180,18 +215,21 @@ class Encoder:
         known.update({p: i for p, i in found.items() if len(p) <= LONGEST})
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian numbers of ``kind``."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and all ids, one text after another; null texts count as empty."""
         if not self.by_parts:
-            return self._bytes(texts)
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        parts = list(chain.from_iterable(cut))
+            each = self._bytes([t or "" for t in texts.to_pylist()])
+            return np.array([len(x) // self.kind.itemsize for x in each], np.int64), np.frombuffer(b"".join(each), self.kind)
+        codes, parts, ends = split_texts(pc.replace_substring(texts, "\n", " "), " ")
         ids = list(map(self.known.get, parts))
         if lacking := {p for p, i in zip(parts, ids, strict=True) if i is None}:
             found = self._learn(lacking)
             ids = [found[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
-        ends = list(accumulate(map(len, cut)))
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        each = sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(each)])[ends]
+        return np.diff(upto, prepend=0), flat[spread((np.cumsum(sizes) - sizes)[codes], each)]
 
 
 @lru_cache(maxsize=1)
@@ -201,10 +239,8 @@ def encoder_of(path: str) -> Encoder:
 
 
 def _shard_count(docs: DataFrame) -> int:
-    """About SHARD_BYTES of the input for each shard; as many as shuffle partitions, where its size can't be told."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= UNKNOWN:
-        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """About SHARD_BYTES of text for each shard, by a pass over the texts' lengths."""
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1), F.lit(0))).first()[0]
     return max(1, -(-size // SHARD_BYTES))
 
 
@@ -219,33 +255,32 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     dealt = rows.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(shards or _shard_count(docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def write(batches):
-        encoder = encoder_of(tokenizer)
-        end = np.array([end_id], encoder.kind).tobytes()
-        doc_ids, lengths, data = [], [], []
-        with without_collector():
-            for own, texts in rows_of(batches, 128):
-                ids = [x + end for x in encoder.encode([t or "" for t in texts])]
-                doc_ids += own
-                lengths += [len(x) for x in ids]
-                data.append(b"".join(ids))
-        if not doc_ids:
-            return
-        ids = np.frombuffer(b"".join(data), encoder.kind)
-        context = TaskContext.get()
+        encoder, context = encoder_of(tokenizer), TaskContext.get()
         system, folder = _system(path)
-        system.create_dir(folder, recursive=True)
         name = f"{folder}/shard-{context.partitionId():07d}.tpk"
-        own = f"{name}.{context.taskAttemptId()}"
-        with system.open_output_stream(own) as out:
-            for part in shard_parts(doc_ids, np.array(lengths, np.int64) // ids.dtype.itemsize, ids, bits):
-                out.write(part)
+        own, writer = f"{name}.{context.taskAttemptId()}", None
+        with without_collector():
+            for batch in text_slices(batches, 1):
+                if writer is None:
+                    system.create_dir(folder, recursive=True)
+                    writer = ShardWriter(system.open_output_stream(own), bits)
+                lengths, ids = encoder.encode(batch.column(1))
+                ended = np.insert(ids, np.cumsum(lengths), end_id)
+                writer.add(batch.column(0), lengths + 1, ended)
+        if writer is None:
+            return
+        docs = writer.close()
+        writer.out.close()
         system.move(own, name)
-        yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]}, schema=pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "n_docs": [docs], "n_ids": [writer.n_ids]}, schema=pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    listed = stored(dealt.mapInArrow(write, "shard long, n_docs long, n_ids long"), "shards")
+    listed = stored(dealt.mapInArrow(write, "shard long, n_docs long, n_ids long"), "shards").withColumn("bin", F.floor(F.col("shard") / SHARDS))
     file = F.format_string(f"{path.rstrip('/').replace('%', '%%')}/shard-%07d.tpk", "shard")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    return listed.select("shard", file.alias("file"), "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
+    # ids before a shard: those of earlier shards of its bin, and those of earlier bins, of which there are few
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bins = listed.groupBy("bin").agg(F.sum("n_ids").alias("ids")).select("bin", F.coalesce(F.sum("ids").over(earlier(Window.orderBy("bin"))), F.lit(0)).alias("base"))
+    here = F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("bin").orderBy("shard"))), F.lit(0))
+    return listed.withColumn("here", here).join(bins, "bin").select("shard", file.alias("file"), "n_docs", "n_ids", (F.col("base") + F.col("here")).alias("start"))
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -257,16 +292,17 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 shard = Shard(file)
                 ends = np.cumsum(shard.lengths)
                 begins = ends - shard.lengths
-                for a in range(0, len(ends), 4096):  # so many documents at a time
-                    some = slice(a, min(a + 4096, len(ends)))
-                    ids = shard.read(int(begins[some][0]), int(ends[some][-1])).astype("<u4")
-                    cut = begins[some] - begins[some][0]
-                    crc = [zlib.crc32(ids[i : i + n].tobytes()) for i, n in zip(cut.tolist(), shard.lengths[some].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[some], pa.int64()), pa.array(begins[some] + start), pa.array(shard.lengths[some]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                at = 0
+                while at < len(ends):  # documents of about READ ids at a time
+                    stop = max(at + 1, int(np.searchsorted(ends, begins[at] + READ, "right")))
+                    ids = shard.read(int(begins[at]), int(ends[stop - 1])).astype("<u4")
+                    cut = (begins[at:stop] - begins[at]).tolist()
+                    crc = [zlib.crc32(ids[i : i + n]) for i, n in zip(cut, shard.lengths[at:stop].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([shard.doc_ids.slice(at, stop - at), pa.array(begins[at:stop] + start), pa.array(shard.lengths[at:stop]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    at = stop
 
     each = shards.select("file", "start", "shard")
-    n = max(1, each.count())
-    return each.repartition(n, "shard").select("file", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return each.repartitionByRange(max(1, each.count()), "shard").select("file", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
