@@ -7,7 +7,9 @@ changes the pairs at the merged position and at its live neighbours: three updat
 piece of n bytes takes n log n steps, however long.
 
 Pieces of up to ``MANY`` bytes are merged together, with their segment trees as rows of one array; longer ones by
-themselves, in a tree of ``FAN`` children a node. Each worker keeps the ids of what it met lately, about ``2 * CACHE`` entries at most. Nothing is shuffled.
+themselves, in a tree of ``FAN`` children a node. A worker keeps one codec, with the ids of what it met lately, about
+``2 * CACHE`` entries at most. With the patterns of ``PARTED`` texts are cut at blanks by Arrow, and each distinct part is
+looked up once; with any other pattern whole texts are split. Nothing is shuffled.
 
 Defined results: null text counts as empty: no ids, decoded to nothing; a row gives a row; null ids of documents
 and further columns are passed on or ignored. Special tokens do not exist: their strings are ordinary text.
@@ -23,10 +25,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import narrow, rows_of
+from tessella.llm.common import narrow, rows_of, split_texts, spread, text_slices, without_collector
 
 #: Entries of a generation of a worker's memory.
 CACHE = 300_000
@@ -39,6 +42,8 @@ FAN = 32
 NONE = 1 << 90
 NO_RANK = 1 << 40
 _UNIT = re.compile(r" (?=\S)")
+#: Patterns (fixed values) whose pieces never reach over a blank before another character from its left.
+PARTED = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
 
 
 @lru_cache(maxsize=2)
@@ -213,11 +218,14 @@ class Codec:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = load_ranks(path)
+        size = max(self.ranks.values()) + 1
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.names = {rank: str(rank) for rank in self.tokens}
+        self.token_bytes = pa.array([self.tokens.get(i) for i in range(size)], pa.binary())
+        self.names = pa.array([str(i) for i in range(size)])
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs = Pairs(self.ranks)
         self.find = regex.compile(pattern).findall
+        self.parted = pattern in PARTED
         self.pieces, self.units = Recent(), Recent()
 
     def _learn_pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
@@ -237,46 +245,87 @@ class Codec:
         self.pieces.update({p: i for p, i in found.items() if len(p) <= LONGEST})
         return found
 
-    def _learn_units(self, units: set[str], heads: list[str]) -> tuple[dict[str, tuple[int, ...]], list[tuple[int, ...]]]:
-        """The ids of units that the young generation lacks, each after a blank; and of the beginnings of texts."""
-        found, unknown = self.units.recall(units)
-        split = {u: [" " + u] if u.isalpha() and u.isascii() else self.find(" " + u) for u in unknown}
-        first = [self.find(h) for h in heads]
+    def _ids(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts given as pieces, as little-endian 32-bit numbers."""
         get = self.pieces.get
-        pieces = {p for x in chain(split.values(), first) for p in x}
+        pieces = {p for x in texts for p in x}
         known = {p: i for p in pieces if (i := get(p)) is not None}
         known |= self._learn_pieces(pieces.difference(known))
-        for u, x in split.items():
-            found[u] = known[x[0]] if len(x) == 1 else tuple(chain.from_iterable(map(known.__getitem__, x)))
+        flat = np.array(list(chain.from_iterable(known[p] for x in texts for p in x)), "<i4").tobytes()
+        ends = np.cumsum([4 * sum(len(known[p]) for p in x) for x in texts]).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn_units(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of units that the young generation lacks, each after a blank."""
+        found, unknown = self.units.recall(units)
+        split = [[" " + u] if u.isalpha() and u.isascii() else self.find(" " + u) for u in unknown]
+        found |= zip(unknown, self._ids(split), strict=True)
         self.units.update({u: i for u, i in found.items() if len(u) <= LONGEST})
-        return found, [tuple(chain.from_iterable(map(known.__getitem__, x))) for x in first]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and all ids, one text after another; null texts count as empty."""
+        if not self.parted:
+            each = self._ids([self.find(t or "") for t in texts.to_pylist()])
+            return np.array([len(x) // 4 for x in each], np.int64), np.frombuffer(b"".join(each), "<i4")
+        codes, parts, ends = split_texts(texts, " ")
+        first = np.concatenate([[0], ends[:-1]])
+        # a part that is empty or begins with white space belongs to the one before: such texts are split as a whole
+        glued = np.fromiter((not p or p[0].isspace() for p in parts), bool, len(parts))[codes]
+        glued[first] = False
+        whole = np.logical_or.reduceat(glued, first)
+        own = [t or "" if w else parts[codes[f]] for t, w, f in zip(texts.to_pylist() if whole.any() else [None] * len(first), whole.tolist(), first.tolist(), strict=True)]
+        ids = list(map(self.units.get, parts))
+        rest = np.ones(len(codes), bool)
+        rest[first] = False
+        used = np.zeros(len(parts), bool)
+        used[codes[rest & ~np.repeat(whole, np.diff(ends, prepend=0))]] = True
+        lacking = {p for p, i, u in zip(parts, ids, used.tolist(), strict=True) if i is None and u}
+        found = self._learn_units(lacking)
+        ids = [found.get(p, b"") if i is None else i for p, i in zip(parts, ids, strict=True)]
+        ids += self._ids([list(chain.from_iterable(map(self.find, self._units(t)))) if w else self.find(t) for t, w in zip(own, whole.tolist(), strict=True)])
+        codes = codes.astype(np.int64)
+        codes[first] = len(parts) + np.arange(len(first))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        each = sizes[codes]
+        each[rest & np.repeat(whole, np.diff(ends, prepend=0))] = 0
+        upto = np.concatenate([[0], np.cumsum(each)])[ends]
+        return np.diff(upto, prepend=0), np.frombuffer(b"".join(ids), "<i4")[spread((np.cumsum(sizes) - sizes)[codes], each)]
+
+    @staticmethod
+    def _units(text: str) -> list[str]:
+        """The text cut before blanks that another character follows."""
+        head, *rest = _UNIT.split(text)
+        return [head, *(" " + u for u in rest)]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut = [_UNIT.split(text) for text in texts]
-        heads = [x[0] for x in cut]
-        units = list(chain.from_iterable(x[1:] for x in cut))
-        ids = list(map(self.units.get, units))
-        lacking = {u for u, i in zip(units, ids, strict=True) if i is None}
-        found, first = self._learn_units(lacking, heads)
-        ids = [found[u] if i is None else i for u, i in zip(units, ids, strict=True)]
-        out, at = [], 0
-        for x, head in zip(cut, first, strict=True):
-            end = at + len(x) - 1
-            out.append(list(chain(head, chain.from_iterable(ids[at:end]))))
-            at = end
-        return out
+        lengths, ids = self.encode(pa.array(texts, pa.string()))
+        return [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
+
+    def joined(self, of: pa.Array, lengths: np.ndarray, ids: np.ndarray, mark: bytes | str) -> pa.Array:
+        """For each text, what ``of`` has for its ids, joined by a mark."""
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), of.take(pa.array(ids))), mark)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str, pattern: str) -> Codec:
+    """A worker's codec: what it has met in one task serves the next."""
+    return Codec(path, pattern)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) of each row."""
 
     def run(batches):
-        codec = Codec(path, pattern)
-        for doc_ids, texts in rows_of(batches, 128):
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(codec.encode_all([t or "" for t in texts]), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        codec = codec_of(path, pattern)
+        for batch in text_slices(batches, 1):
+            lengths, ids = codec.encode(batch.column(1))
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
 
     return narrow(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -285,7 +334,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, data (binary) from doc_id, ids; null ids give empty data."""
 
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = codec_of(path, pattern)
         for doc_ids, ids in rows_of(batches, 128):
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([codec.decode(x or []) for x in ids], pa.binary())], names=["doc_id", "data"])
 
@@ -296,13 +345,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by blanks) and decoded_sha256 (of the bytes decoded from them)."""
 
     def run(batches):
-        codec = Codec(path, pattern)
-        for doc_ids, texts in rows_of(batches, 128):
-            n, coded, back = [], [], []
-            for ids in codec.encode_all([t or "" for t in texts]):
-                n.append(len(ids))
-                coded.append(hashlib.sha256(" ".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec = codec_of(path, pattern)
+        digest = lambda xs: pa.array([hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in xs], pa.string())
+        with without_collector():
+            for batch in text_slices(batches, 1):
+                lengths, ids = codec.encode(batch.column(1))
+                said, data = codec.joined(codec.names, lengths, ids, " "), codec.joined(codec.token_bytes, lengths, ids, b"")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), digest(said), digest(data)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return narrow(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
