@@ -44,7 +44,13 @@ def col(name: str) -> Expr:
     return Expr(lambda s: s.column(table or None, column), frozenset([table] if table else []), f"col({name})", name=column)
 
 
-outer = col  # an outer reference is resolved by the scope that it stands in
+outer = col  # within one query, an outer reference is resolved by the scope that it stands in
+
+
+def outer_ref(name: str) -> Expr:
+    """A column of the query around a scalar subquery, by ``alias.column``."""
+    table, _, column = name.rpartition(".")
+    return Expr(lambda s: F.col(f"`{table}`.`{column}`").outer(), frozenset(), f"outer({name})", name=column)
 
 
 def alias_ref(name: str) -> Expr:

@@ -30,7 +30,8 @@ def _unit(unit: str) -> str:
 
 
 def current_time() -> Expr:
-    return call("current_time", lambda: F.expr("current_time()"))
+    """The session's time of day, as text: hours, minutes and seconds (columns of times are off in Spark, unless switched on)."""
+    return call("current_time", lambda: F.date_format(F.localtimestamp(), "HH:mm:ss"))
 
 
 local_time = current_time
@@ -90,11 +91,14 @@ def date_trunc(part: str, d: Any) -> Expr:
 
 
 def age(ts: Any, base: Any = None) -> Expr:
-    """Years, months and days from ts to base (now, if none), as text: ``1 years 2 mons 3 days``."""
+    """Years, months and days from ts to base (now, if none), as text: ``1 years 2 mons 3 days``; times of day don't count."""
 
     def make(a: Column, b: Column) -> Column:
-        months = F.floor(F.abs(F.months_between(b, a))).cast("int") * F.when(b < a, -1).otherwise(1)
-        days = F.datediff(b, F.add_months(a, months))
-        return F.concat((months / 12).cast("int"), F.lit(" years "), F.try_mod(months, F.lit(12)), F.lit(" mons "), days, F.lit(" days"))
+        early, late = F.least(a, b).cast("date"), F.greatest(a, b).cast("date")
+        short = F.dayofmonth(late) < F.dayofmonth(early)  # days are borrowed from the earlier date's month
+        months = (F.year(late) - F.year(early)) * 12 + F.month(late) - F.month(early) - short.cast("int")
+        days = F.dayofmonth(late) - F.dayofmonth(early) + F.when(short, F.dayofmonth(F.last_day(early))).otherwise(0)
+        sign = F.when(b < a, -1).otherwise(1)
+        return F.concat(sign * F.floor(months / 12), F.lit(" years "), sign * (months % 12), F.lit(" mons "), sign * days, F.lit(" days"))
 
     return call("age", make, ts, now() if base is None else base)

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.expr import Expr, call
+from tessella.expr import Expr, asc, call, col
 
 
 def _sum(pairs: Column) -> Column:
@@ -62,3 +62,11 @@ def l1_distance(a: Any, b: Any) -> Expr:
 
 
 euclidean_distance, dot_product, manhattan_distance = l2_distance, inner_product, l1_distance
+
+
+def vector_match(query: Any, column: str, vector: list[float], k: int, metric: str = "l2") -> Any:
+    """The query's k rows whose vectors are nearest, nearest first, ties by the primary key: exact, without an index."""
+    if not isinstance(k, int) or isinstance(k, bool) or k < 1:
+        raise ValueError("k is a whole number from 1")
+    near = vector_distance(metric, col(column if "." in column else f"{query.alias}.{column}"), vector)
+    return query.order_by(asc(near), asc(col(f"{query.alias}.{query.definition.key}"))).limit(k)

@@ -1,4 +1,7 @@
-"""Results kept by key, with tags and a time to live. What is kept is a persisted DataFrame, its registry on the driver."""
+"""Results kept by key, with tags and a time to live. What is kept is a persisted DataFrame, its registry on the driver.
+
+A cache that is bound to a catalog drops what is tagged with a table's name when that table is written.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from tessella.sources.catalog import Catalog
+
 #: Seconds of each unit.
 UNITS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
@@ -27,6 +32,11 @@ class QueryCache:
         self.clock, self.tenant, self.ttl = clock, tenant, ttl
         self._kept: dict[str, tuple[float, frozenset[str], DataFrame]] = {}
 
+    def bind(self, catalog: Catalog) -> QueryCache:
+        """Drop what is tagged with a table's name, each time the catalog is given another snapshot of it."""
+        catalog.listeners.append(lambda name: self.invalidate_tags(name))
+        return self
+
     def _key(self, key: str) -> str:
         return f"{self.tenant}:{key}" if self.tenant else key
 
@@ -45,7 +55,7 @@ class QueryCache:
             found[2].unpersist()
 
     def invalidate_tags(self, *tags: str) -> int:
-        """Also to be called, with a table's name, when the table is written."""
+        """Also called, with a table's name, when a table of a bound catalog is written."""
         return self._drop([k for k, (_, own, _) in self._kept.items() if own & set(tags)])
 
     def invalidate_prefix(self, prefix: str) -> int:

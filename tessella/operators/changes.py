@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.schema import TableDef
+from tessella.schema import ColumnDef, Relation, TableDef
 from tessella.sources.catalog import Catalog
 
 
@@ -84,8 +84,35 @@ def synchronise(catalog: Catalog, wanted: list[TableDef], there: dict[str, DataF
     return changes
 
 
-def create_table_sql(t: TableDef, location: str | None = None) -> str:
-    """CREATE TABLE text for Spark's catalog."""
-    lines = [f"`{n}` {c.spark.simpleString()}{'' if c.nullable and not c.primary else ' NOT NULL'}" for n, c in t.columns.items()]
-    where = f" LOCATION '{location}'" if location else ""
-    return f"CREATE TABLE IF NOT EXISTS `{t.name}` ({', '.join(lines)}) USING parquet{where}"
+def create_table_sql(t: TableDef, location: str | None = None, buckets: int | None = None) -> str:
+    """CREATE TABLE text for Spark's catalog: types, nulls, defaults and comments as columns; keys, checks and indexes, which
+    Spark doesn't enforce on files, as properties. buckets: the table is bucketed by its first index, else by its key."""
+    quoted = lambda text: "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    lines = []
+    for n, c in t.columns.items():
+        default = "" if c.default is None else f" DEFAULT {c.default if isinstance(c.default, (int, float)) and not isinstance(c.default, bool) else str(c.default).upper() if isinstance(c.default, bool) else quoted(c.default)}"
+        lines.append(f"`{n}` {c.spark.simpleString()}{'' if c.nullable and not c.primary else ' NOT NULL'}{default}{f' COMMENT {quoted(c.comment)}' if c.comment else ''}")
+    said = {"primary_key": ",".join(t.primary_key or [n for n, c in t.columns.items() if c.primary]), "unique": ",".join(n for n, c in t.columns.items() if c.unique)}
+    said |= {f"foreign_key.{n}": ".".join(c.references) for n, c in t.columns.items() if c.references} | {f"check.{n}": c.check for n, c in t.columns.items() if c.check}
+    said |= {f"check.{i}": x for i, x in enumerate(t.checks)} | {f"index.{i}": ",".join(x) for i, x in enumerate(t.indexes)}
+    kept = ", ".join(f"{quoted(k)} = {quoted(v)}" for k, v in said.items() if v)
+    by = list(t.indexes[0]) if t.indexes else list(t.primary_key) or [t.key]
+    clustered = f" CLUSTERED BY ({', '.join(f'`{n}`' for n in by)}) INTO {buckets} BUCKETS" if buckets else ""
+    return f"CREATE TABLE IF NOT EXISTS `{t.name}` ({', '.join(lines)}) USING parquet{clustered}{f' LOCATION {quoted(location)}' if location else ''}{f' COMMENT {quoted(t.comment)}' if t.comment else ''}{f' TBLPROPERTIES ({kept})' if kept else ''}"
+
+
+def create_all_sql(tables: list[TableDef]) -> list[str]:
+    """CREATE TABLE texts, targets of foreign keys first."""
+    return [create_table_sql(t) for t in dependency_order(tables)]
+
+
+def table_source(t: TableDef) -> str:
+    """Python source of a definition, for ``tessella.schema``'s names."""
+    blank = ColumnDef("")
+    columns = []
+    for n, c in t.columns.items():
+        options = "".join(f", {k}={v!r}" for k, v in vars(c).items() if k not in ("type", "name") and v != getattr(blank, k))
+        columns.append(f"    {n!r}: column({c.type!r}{options}),")
+    relations = [f"    {n!r}: Relation({r.kind!r}{''.join(f', {k}={v!r}' for k, v in vars(r).items() if k != 'kind' and v != getattr(Relation(r.kind), k))})," for n, r in t.relations.items()]
+    more = "".join(f", {k}={getattr(t, k)!r}" for k in ("primary_key", "indexes", "checks", "comment", "schema_name") if getattr(t, k))
+    return "\n".join([f"table({t.name!r}, {{", *columns, "}, {", *relations, f"}}{more})"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Any
 
+from tessella.plans.filters import KINDS as KINDS_OF
+from tessella.plans.filters import OPERATORS, RELATION_OPERATORS
 from tessella.schema import ColumnDef, TableDef
 
 #: type and format by Spark type.
@@ -28,20 +30,47 @@ def table_schema(t: TableDef, only: list[str] | None = None, without: tuple[str,
     return {"type": "object", "properties": {n: column_schema(t.columns[n]) for n in names}, "required": [n for n in names if t.columns[n].primary or not t.columns[n].nullable]}
 
 
+def create_schema(t: TableDef) -> dict[str, Any]:
+    """What may be given for a new row: no generated keys; required is what has neither default nor null."""
+    out = table_schema(t, [n for n, c in t.columns.items() if not c.autoincrement])
+    return out | {"required": [n for n in out["properties"] if not t.columns[n].nullable and t.columns[n].default is None]}
+
+
+def update_schema(t: TableDef) -> dict[str, Any]:
+    """What may be changed of a row: all but its key, nothing required."""
+    return table_schema(t, [n for n, c in t.columns.items() if not c.primary]) | {"required": []}
+
+
+def nested_schema(t: TableDef, tables: dict[str, TableDef], relations: dict[str, Any]) -> dict[str, Any]:
+    """A row with related rows. relations: for each relation, those below it."""
+    out = table_schema(t)
+    for name, below in relations.items():
+        r = t.relation(name)
+        inner = nested_schema(tables[r.target], tables, below or {})
+        out["properties"] = out["properties"] | {name: inner | {"nullable": True} if r.single else {"type": "array", "items": inner}}
+    return out
+
+
+def _operand(op: str, own: dict[str, Any]) -> dict[str, Any]:
+    return {"type": "array", "items": own} if op in ("in", "not_in") else own
+
+
+def _kind(own: dict[str, Any]) -> str:
+    return "number" if own["type"] in ("integer", "number") else "date" if own.get("format", "").startswith("date") else "text" if own["type"] == "string" else "other"
+
+
 def filter_schema(t: TableDef, deep: int = 1, tables: dict[str, TableDef] | None = None) -> dict[str, Any]:
+    """What ``apply_filter`` takes, from its own lists of operators."""
     out: dict[str, Any] = {}
     for n, c in t.columns.items():
         own = {k: v for k, v in column_schema(c).items() if k != "nullable"}
-        ops = {"equals": own, "not": own, "in": {"type": "array", "items": own}, "not_in": {"type": "array", "items": own}}
-        if own["type"] in ("integer", "number") or own.get("format", "").startswith("date"):
-            ops |= {op: own for op in ("lt", "lte", "gt", "gte")}
-        elif own["type"] == "string":
-            ops |= {op: own for op in ("contains", "starts_with", "ends_with")} | {"mode": {"type": "string", "enum": ["default", "insensitive"]}}
-        out[n] = {"type": "object", "properties": ops}
+        said = {op: _operand(op, own) for op in OPERATORS if _kind(own) in KINDS_OF.get(op, (_kind(own),))}
+        mode = {"mode": {"type": "string", "enum": ["default", "insensitive"]}} if "contains" in said else {}
+        out[n] = {"type": "object", "properties": said | mode}
     for n, r in t.relations.items() if deep > 0 and tables else ():
         if r.target in tables:
             inner = filter_schema(tables[r.target], deep - 1, tables)
-            out[n] = {"type": "object", "properties": {"some": inner, "none": inner, "every": inner, "is_empty": {"type": "boolean"}, "is_not_empty": {"type": "boolean"}}}
+            out[n] = {"type": "object", "properties": {op: {"type": "boolean"} if op.startswith("is_") else inner for op in RELATION_OPERATORS}}
     return {"type": "object", "properties": out}
 
 

@@ -6,12 +6,14 @@ not by comparing nodes with nodes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.schema import TableDef, belongs_to, has_many
+from tessella.sources.shared import shared_path, stored
 
 #: Bounds that one task takes when a running value is computed.
 BIN = 1 << 16
@@ -28,6 +30,20 @@ class Tree:
     depth: str | None = None
     scope: tuple[str, ...] = ()
 
+    # declarations
+
+    def declare(self, t: TableDef, parent: str = "parent", children: str = "children") -> TableDef:
+        """A table as a tree: it knows its columns, and has the relations to a node's parent and children."""
+        if missing := [c for c in (self.key, self.parent, self.left, self.right, *([self.depth] if self.depth else []), *self.scope) if c not in t.columns]:
+            raise ValueError(f"{t.name} lacks the tree's columns {missing}")
+        own = {parent: belongs_to(t.name, self.parent), children: has_many(t.name, self.parent)}
+        return replace(t, tree=self, relations=t.relations | own)
+
+    def entity(self, cls: type) -> type:
+        """A decorator of dataclasses: their table is declared as this tree."""
+        cls.__tree__ = staticmethod(self.declare)
+        return cls
+
     # queries
 
     def within(self, df: DataFrame, **scope: Any) -> DataFrame:
@@ -77,14 +93,15 @@ class Tree:
         """A row for each bound: +1 at lft, -1 at rght."""
         return df.select("*", F.explode(F.array(F.struct(F.col(self.left).alias("at"), F.lit(1).alias("step")), F.struct(F.col(self.right).alias("at"), F.lit(-1).alias("step")))).alias("__e"))
 
-    def _before(self, df: DataFrame, at: str, value: str, fold, last: int) -> DataFrame:
-        """df with ``__so_far``: value folded over the rows of a tree up to one (``last`` 0), or before it (-1), by ``at``.
+    def _before(self, df: DataFrame, at: str, value: str, fold, last: int, ties: tuple = ()) -> DataFrame:
+        """df with ``__within`` and ``__start``: value folded over the rows of a tree up to one (``last`` 0), or before it (-1),
+        by ``at`` and ``ties``: within the row's bin, and over the bins before.
 
         Bounds are dense whole numbers: they are dealt into bins of ``BIN``, folded within, and each bin takes on what
         the bins before it come to. No task has more than a bin, however large the tree.
         """
         binned = df.withColumn("__bin", F.floor(F.col(at) / BIN))
-        here = Window.partitionBy(*self.scope, "__bin").orderBy(at)
+        here = Window.partitionBy(*self.scope, "__bin").orderBy(at, *ties)
         ahead = Window.partitionBy(*self.scope).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
         totals = binned.groupBy(*self.scope, "__bin").agg(fold(value).alias("__t"))
         starts = totals.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(self.scope)], F.col("__bin").alias("__b"), fold("__t").over(ahead).alias("__start"))
@@ -108,48 +125,55 @@ class Tree:
         return deep.select(self.key, self.left, F.concat(F.repeat(F.lit(spacer), F.col("__depth")), F.col(label)).alias("label")).orderBy(self.left).select(self.key, "label")
 
     def validate(self, df: DataFrame) -> DataFrame:
-        """key and problem of nodes that are at fault: bounds out of order, below 1, shared, or crossing another node's."""
+        """key and problem of nodes that are at fault: bounds out of order, below 1, shared, or crossing another node's.
+
+        Inside of a node that crosses none, every node that opens closes too: a sum over the bounds of hashes of their nodes,
+        added at lft and taken off at rght, is the same at its two ends. So each crossing node is found, by running sums.
+        """
         left, right = F.col(self.left), F.col(self.right)
         bad = df.select(self.key, F.when(left >= right, "lft must be below rght").when(left < 1, "lft must be 1 or more").alias("problem")).where("problem IS NOT NULL")
-        events = self._events(df.where(left < right)).select(*self.scope, self.key, left.alias("__l"), right.alias("__r"), "__e", F.count(F.lit(1)).over(Window.partitionBy(*self.scope, "__e.at")).alias("__same"))
-        shared = events.where("__same > 1").select(self.key, F.lit("a bound is shared").alias("problem")).distinct()
-        # inside of a sound node as many bounds open as close; of crossing nodes at least the outermost are told by that
-        steps = events.withColumns({"__at": F.col("__e.at"), "__step": F.col("__e.step")})
-        summed = self._before(steps, "__at", "__step", F.sum, 0).withColumn("__sum", F.col("__within") + F.coalesce("__start", F.lit(0)))
-        ends = summed.groupBy(*self.scope, self.key).agg(F.max(F.when(F.col("__step") == 1, F.col("__sum"))).alias("__open"), F.max(F.when(F.col("__step") == -1, F.col("__sum"))).alias("__close"))
-        pairs = ends.where("__close != __open - 1").select(self.key, F.lit("crosses another node").alias("problem"))
-        return bad.union(shared).union(pairs)
+        events = self._events(df.where(left < right)).select(*self.scope, self.key, "__e.at", "__e.step", (left + right - F.col("__e.at")).alias("other"))
+        same = events.groupBy(*self.scope, "at").agg(F.count(F.lit(1)).alias("__same"), F.collect_set(self.key).alias("__keys")).where("__same > 1")
+        shared = same.select(F.explode("__keys").alias(self.key), F.lit("a bound is shared").alias("problem")).distinct()
+        own = F.xxhash64(self.key).cast("decimal(38,0)")
+        steps = events.withColumns({"__at": F.col("at"), "__step": F.col("step") * own, "__own": own})
+        # where bounds are shared, what closes comes before what opens, and of both the narrower inside
+        summed = self._before(steps, "__at", "__step", F.sum, 0, (F.col("step"), F.desc("other"))).withColumn("__sum", F.col("__within") + F.coalesce("__start", F.lit(0)))
+        ends = summed.groupBy(*self.scope, self.key).agg(F.max(F.when(F.col("step") == 1, F.col("__sum") - F.col("__own"))).alias("__open"), F.max(F.when(F.col("step") == -1, F.col("__sum"))).alias("__close"))
+        crossing = ends.where("__close != __open").select(self.key, F.lit("crosses another node").alias("problem"))
+        return bad.union(shared).union(crossing)
 
     def recover(self, df: DataFrame, order: str | None = None, levels: int = 100) -> DataFrame:
         """lft, rght (and depth) anew from the parents, children by ``order`` (key, if none); unreachable nodes keep theirs.
 
-        A pass for each level finds each node's path; lft = 2 * place - depth - 1 and rght = lft + 2 * descendants + 1.
-        A node's place follows from the sizes of its and its ancestors' earlier siblings: nothing sorts the whole tree.
-        Keys must be unique, and scope columns not null.
+        Levels are found from the roots down, the nodes below each node counted from the deepest level up, and bounds given
+        from the roots down: from the parent's lft and the sizes of earlier siblings. Each step joins one level with the next,
+        and is written to the shared folder: what is computed grows with the nodes, not with nodes times depth. Nothing sorts
+        the whole tree, but the children of one node are ordered by one task. Keys must be unique, scope columns not null.
         """
-        by = order or self.key
-        mine = Window.partitionBy(*self.scope, self.parent).orderBy(F.col(by).asc_nulls_first(), self.key)
-        nodes = df.select(*self.scope, self.key, self.parent, F.lpad(F.row_number().over(mine).cast("string"), 10, "0").alias("__s")).cache()
-        level = nodes.where(F.col(self.parent).isNull()).select(*self.scope, self.key, F.col("__s").alias("__path"), F.lit(0).alias("__d"))
-        paths = level
-        for _ in range(levels):
-            up = level.select(*self.scope, F.col(self.key).alias(self.parent), F.col("__path").alias("__up"), F.col("__d").alias("__ud"))
-            level = nodes.join(up, [*self.scope, self.parent]).select(*self.scope, self.key, F.concat("__up", F.lit("/"), "__s").alias("__path"), (F.col("__ud") + 1).alias("__d")).cache()
+        by, spark = order or self.key, df.sparkSession
+        nodes = stored(df.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(self.scope)], F.col(self.key).alias("__k"), F.col(self.parent).alias("__p"), F.col(by).alias("__by")), "nodes")
+        scope = [f"__s{i}" for i in range(len(self.scope))]
+        upper = lambda d, *more: d.select(*scope, F.col("__k").alias("__p"), *more)
+        found = [stored(nodes.where("__p IS NULL"), "level")]
+        while len(found) <= levels:
+            level = stored(nodes.join(upper(found[-1]), [*scope, "__p"]).select(*nodes.columns), "level")
             if level.isEmpty():
                 break
-            paths = paths.union(level)
+            found.append(level)
         else:
             raise RecursionError(f"the tree is deeper than {levels} levels")
-        parts = F.split("__path", "/")
-        head = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
-        ups = paths.select(*self.scope, self.key, "__d", F.explode(F.transform(F.sequence(F.lit(1), F.col("__d") + 1), head)).alias("__path"))
-        sizes = ups.groupBy(*self.scope, "__path").agg((F.count(F.lit(1)) - 1).alias("__n"))
-        # nodes before one: those of earlier siblings with all below them, for itself and each ancestor, and the ancestors
-        beside = Window.partitionBy(*self.scope, "__up").orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
-        earlier = sizes.withColumn("__up", head(F.size(parts) - 1)).select(*self.scope, "__path", "__n", F.coalesce(F.sum(F.col("__n") + 1).over(beside), F.lit(0)).alias("__before"))
-        placed = ups.join(earlier, [*self.scope, "__path"]).groupBy(self.key).agg((F.sum("__before") + F.count(F.lit(1))).alias("__place"), F.max("__d").alias("__d"), F.min("__n").alias("__n"))
-        left = 2 * F.col("__place") - F.col("__d") - 1
-        new = placed.select(self.key, left.alias("__l"), (left + 2 * F.col("__n") + 1).alias("__r"), "__d")
+        sized = [stored(found[-1].withColumn("__n", F.lit(1).cast("long")), "sizes")]
+        for level in reversed(found[:-1]):
+            below = sized[-1].groupBy(*scope, F.col("__p").alias("__k")).agg(F.sum("__n").alias("__below"))
+            sized.append(stored(level.join(below, [*scope, "__k"], "left").select(*nodes.columns, (F.coalesce("__below", F.lit(0)) + 1).alias("__n")), "sizes"))
+        path, above = shared_path(spark, "bounds"), None
+        beside = Window.partitionBy(*scope, "__p").orderBy(F.col("__by").asc_nulls_first(), "__k").rowsBetween(Window.unboundedPreceding, -1)
+        for depth, level in enumerate(reversed(sized)):
+            earlier = level.withColumn("__e", F.coalesce(F.sum("__n").over(beside), F.lit(0)))
+            placed = earlier.withColumn("__l", 2 * F.col("__e") + 1) if above is None else earlier.join(upper(above, F.col("__l").alias("__up")), [*scope, "__p"]).withColumn("__l", F.col("__up") + 2 * F.col("__e") + 1)
+            above = stored(placed.select(*scope, "__k", "__l", (F.col("__l") + 2 * F.col("__n") - 1).alias("__r"), F.lit(depth).alias("__d")), "bounds", f"{path}/level={depth}")
+        new = spark.read.schema(above.schema).option("recursiveFileLookup", "true").parquet(path).select(F.col("__k").alias(self.key), "__l", "__r", "__d")
         values = {self.left: F.coalesce("__l", self.left), self.right: F.coalesce("__r", self.right)} | ({self.depth: F.coalesce("__d", self.depth)} if self.depth else {})
         kinds = {f.name: f.dataType for f in df.schema}
         return df.join(new, self.key, "left").select(*[values[c].cast(kinds[c]).alias(c) if c in values else F.col(c) for c in df.columns])

@@ -30,16 +30,19 @@ OPERATORS = {
     "starts_with": lambda c, v, i: _text("startswith", c, v, i),
     "ends_with": lambda c, v, i: _text("endswith", c, v, i),
 }
+#: The kinds of columns that an operator is for; none: all.
+KINDS = {"lt": ("number", "date"), "lte": ("number", "date"), "gt": ("number", "date"), "gte": ("number", "date"), "contains": ("text",), "starts_with": ("text",), "ends_with": ("text",)}
 RELATION_OPERATORS = ("some", "none", "every", "is_empty", "is_not_empty")
 
 
 def field_condition(name: str, condition: Any) -> Expr:
-    """A condition on a column; a plain value means equals."""
+    """A condition on a column; a plain value means equals. An unknown operator raises, lest it match all rows."""
     if not isinstance(condition, dict):
         return OPERATORS["equals"](col(name), condition, False)
+    if unknown := [op for op in condition if op not in OPERATORS and op != "mode"]:
+        raise ValueError(f"a filter on {name} has unknown operators {unknown}")
     insensitive = condition.get("mode") == "insensitive"
-    terms = [OPERATORS[op](col(name), value, insensitive) for op, value in condition.items() if op in OPERATORS]
-    return and_(*terms)
+    return and_(*[OPERATORS[op](col(name), value, insensitive) for op, value in condition.items() if op != "mode"])
 
 
 def apply_filter(query: Select, where: dict[str, Any]) -> Select:

@@ -13,9 +13,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.expr import Expr, Order, and_, col, eq, lit, raw, sort_column, to_expr
+from tessella.expr import Expr, Order, and_, col, eq, lit, outer_ref, raw, sort_column, to_expr
 from tessella.schema import Relation, TableDef
 from tessella.sources.catalog import Catalog
+from tessella.sources.shared import shared_path, stored
 
 
 @dataclass(frozen=True)
@@ -121,8 +122,9 @@ class Select:
     def select_subquery(self, name: str, query: Select) -> Select:
         return self.select(**{name: scalar(query)})
 
-    def distinct(self) -> Select:
-        return replace(self, is_distinct=True)
+    def distinct(self, *columns: str | Expr) -> Select:
+        """Rows that are selected, each once. Columns may be named; they don't narrow what is compared: that is all that is selected."""
+        return replace(self if self.items or not columns else self.select(*columns), is_distinct=True)
 
     # filters -----------------------------------------------------------------------------------------------------
 
@@ -219,6 +221,46 @@ class Select:
 
         return self._step(step)
 
+    def join_function(self, name: str, *arguments: Any, alias: str, columns: tuple[str, ...] = (), kind: str = "inner", on: Expr | None = None) -> Select:
+        """Rows of a table-valued function of Spark for each row, whose columns are its arguments: a lateral join. kind: inner or left."""
+        if kind not in ("inner", "left"):
+            raise ValueError("a lateral join is inner or left")
+
+        def step(df: DataFrame, s: Scope) -> DataFrame:
+            made = getattr(self.catalog.spark.tvf, name)(*[to_expr(a).build(s).outer() for a in arguments])
+            s.tables.setdefault(alias, alias)
+            right = (made.toDF(*columns) if columns else made).alias(alias)
+            return df.lateralJoin(right, on.build(s) if on is not None else F.lit(True), kind)
+
+        return self._step(step)
+
+    def nearest(self, column: str, vector: list[float], k: int, metric: str = "l2") -> Select:
+        """The k rows whose vectors are nearest, nearest first, ties by the primary key."""
+        from tessella.functions.vectors import vector_match
+
+        return vector_match(self, column, vector, k, metric)
+
+    def cached(self, cache: Any, key: str, ttl: str | float | None = None, tags: tuple[str, ...] = (), auto_invalidate: bool = True) -> DataFrame:
+        """What a cache keeps under the key, else this query's rows, kept from now on; auto_invalidate: until one of its tables is written."""
+        own = self.tables() if auto_invalidate else ()
+        return cache.get(key, self.to_df, ttl, (*tags, *own))
+
+    def tables(self) -> tuple[str, ...]:
+        """Names of the tables that the query reads."""
+        out: dict[str, None] = {}
+        for source in (self.source, *[j.source for j in self.joins], *[o for _, o in self.operands]):
+            if isinstance(source, Select):
+                out |= dict.fromkeys(source.tables())
+            elif not isinstance(source, DataFrame):
+                out[source.name if isinstance(source, TableDef) else source] = None
+        pending = [(self.definition, i) for i in self.includes]
+        while pending:
+            definition, i = pending.pop()
+            r = definition.relation(i.name)
+            out |= dict.fromkeys(x for x in (r.target, r.pivot) if x)
+            pending += [(self.catalog.definition(r.target), x) for x in i.include]
+        return tuple(out)
+
     def unnest(self, array: str, alias: str, column: str = "value", ordinality: str | None = None) -> Select:
         return self.lateral(lambda s: col(array).build(s), alias, (column, ordinality) if ordinality else (column,), ordinality is not None)
 
@@ -364,7 +406,9 @@ class Select:
         scope.projection = made
         extra = [h.build(scope).alias(f"__h{i}") for i, h in enumerate(self.havings)]
         keys_of = [] if self.operands else [(scope.projected(o.term.key[6:-1]) if o.term.key.startswith("alias(") else value(o.term)).alias(f"__o{i}") for i, o in enumerate(self.orders)]
-        out = pre.groupBy(*[F.col(k) for k in keys.values()]).agg(*[c.alias(n) for n, c in made.items()], *extra, *keys_of)
+        values = [*[c.alias(n) for n, c in made.items()], *extra, *keys_of]
+        # without groups a selection of aggregates is one row too, and may still refer to a query around it
+        out = pre.groupBy(*[F.col(k) for k in keys.values()]).agg(*values) if keys or not any(x.aggregate for _, x in items) else pre.select(*values)
         for i in range(len(self.havings)):
             out = out.where(F.col(f"__h{i}"))
         return out.select(*[F.col(f"`{n}`") for n in made], *[F.col(f"__o{i}") for i in range(len(self.orders)) if not self.operands])
@@ -439,19 +483,31 @@ def from_function(catalog: Catalog, name: str, *arguments: Column, alias: str =
 
 
 def scalar(query: Select) -> Expr:
-    """The one value of a subquery that doesn't depend on the outer query."""
-    return Expr(lambda s: query.to_df().scalar(), frozenset(), f"scalar({id(query)})", name="scalar")
+    """The one value of a subquery; it may depend on the row of the outer query, by ``outer_ref``."""
+
+    def build(s: Scope) -> Column:
+        return query.to_df().scalar()
+
+    steps = f",{id(query.frame_steps)}" if query.frame_steps else ""
+    said = [e.key for _, e in query.items] + [e.key for e in (*query.conditions, *query.groups, *query.havings)] + [f"{j.kind} {j.alias} {j.on.key if j.on is not None else ''}" for j in query.joins]
+    return Expr(build, frozenset(), f"scalar({query.alias}:{';'.join(said)}:{query.limited},{query.skipped},{query.is_distinct}{steps})", name="scalar")
 
 
 def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], levels: int = 100) -> DataFrame:
-    """The anchor's rows and those that ``step`` makes of each level, until one is empty; more levels than allowed raise."""
-    out = level = anchor
-    for _ in range(levels):
-        level = step(level).cache()
+    """The anchor's rows and those that ``step`` makes of each level, until one is empty; more levels than allowed raise.
+
+    Each level is written to the shared folder and read back, so no plan grows with their number; all are read as one table.
+    """
+    spark = anchor.sparkSession
+    path = shared_path(spark, "levels")
+    level = stored(anchor, "levels", f"{path}/level=0")
+    for n in range(1, levels + 1):
         if level.isEmpty():
-            return out
-        out = out.union(level)
+            return spark.read.schema(anchor.schema).option("recursiveFileLookup", "true").parquet(path)
+        level = stored(step(level).select(*[F.col(f"`{c}`").cast(f.dataType).alias(c) for c, f in zip(level.columns, anchor.schema, strict=True)]), "levels", f"{path}/level={n}")
+    if level.isEmpty():
+        return spark.read.schema(anchor.schema).option("recursiveFileLookup", "true").parquet(path)
     raise RecursionError(f"not done after {levels} levels")
 
 
-__all__ = ["Include", "Join", "Relation", "Scope", "Select", "from_function", "from_named", "from_range", "from_subquery", "recursive", "scalar", "select_from"]
+__all__ = ["Include", "Join", "Relation", "Scope", "Select", "from_function", "from_named", "from_range", "from_subquery", "outer_ref", "recursive", "scalar", "select_from"]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
+import datetime
+import uuid
 from collections.abc import Callable
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +15,19 @@ from tessella import expr as e
 from tessella.commerce import catalog
 from tessella.expr import and_, asc, col, desc, eq, gt, gte, lit, lt, mul, neq, or_, sub
 from tessella.functions import arrays, control, dates, json_text, numbers, text, vectors
-from tessella.operators import dml, validate
+from tessella.operators import changes, dml, openapi, validate
+from tessella.operators.cache import QueryCache
+from tessella.operators.session import Session
+from tessella.operators.shaping import as_json, materialize, to_response
 from tessella.operators.tree import Tree
 from tessella.plans.filters import apply_filter
-from tessella.plans.paging import cursor_query, encode_cursor, page_query
-from tessella.plans.query import Include, Select, from_function, from_named, from_range, from_subquery, scalar, select_from
-from tessella.plans.relations import lazy_relation, morph_owner
-from tessella.schema import morph_to
+from tessella.plans.log import QueryRunner
+from tessella.plans.paging import cursor_query, encode_cursor, execute_cursor, execute_filtered_paged, page_query
+from tessella.plans.query import Include, Select, from_function, from_named, from_range, from_subquery, outer_ref, scalar, select_from
+from tessella.plans.relations import lazy_relation, morph_owner, select_columns_deep
+from tessella.schema import column, entity_table, morph_to, table
+from tessella.sources import catalog as sources
+from tessella.sources.shared import shared_path
 from tessella.streaming import windows
 
 #: name -> (what makes the query's result of a catalog, SQL or None)
@@ -89,9 +99,9 @@ def table_function(c):
     return from_function(c, "explode", F.array(F.lit(3), F.lit(1), F.lit(2)), columns=["value"])
 
 
-@_query("SELECT vec_id, round(u::DOUBLE, 6) AS x, i::INT AS i FROM (SELECT vec_id, unnest(embedding[1:3]) AS u, unnest([1, 2, 3]) AS i FROM embeddings WHERE vec_id < 64)")
+@_query("SELECT vec_id, round(u::DOUBLE, 6) AS x, i::INT AS i FROM (SELECT vec_id, unnest(list_reverse(embedding)) AS u, generate_subscripts(embedding, 1) AS i FROM embeddings)")
 def unnest_ordinality(c):
-    q = select_from(c, "embeddings").where(lt(col("embeddings.vec_id"), 64)).lateral(lambda s: F.slice(col("embeddings.embedding").build(s), 1, 3), "u", ("x", "i"), True)
+    q = select_from(c, "embeddings").lateral(lambda s: F.reverse(col("embeddings.embedding").build(s)), "u", ("x", "i"), True)
     return q.select(vec_id=col("embeddings.vec_id"), x=numbers.round_(e.cast(col("x"), "double"), 6), i=col("i"))
 
 
@@ -466,9 +476,9 @@ def include_belongs_to(c):
     return _json(select_from(c, "nation").include("region").to_df(), "n_nationkey", "region")
 
 
-@_query("SELECT o_orderkey, to_json(coalesce(list(DISTINCT {'p_partkey': p_partkey, 'p_brand': p_brand} ORDER BY {'p_partkey': p_partkey, 'p_brand': p_brand}) FILTER (p_partkey IS NOT NULL), []))::VARCHAR AS nested FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderkey <= 500 GROUP BY o_orderkey")
+@_query("SELECT o_orderkey, to_json(coalesce(list(DISTINCT {'p_partkey': p_partkey, 'p_size': p_size} ORDER BY {'p_partkey': p_partkey, 'p_size': p_size}) FILTER (p_partkey IS NOT NULL), []))::VARCHAR AS nested FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 GROUP BY o_orderkey")
 def include_many_to_many(c):
-    return _json(select_from(c, "orders").where(e.lte(col("orders.o_orderkey"), 500)).include("parts", ["p_partkey", "p_brand"]).to_df(), "o_orderkey", "parts")
+    return _json(select_from(c, "orders").include("parts", ["p_partkey", "p_size"], where=gt(col("parts.p_size"), 10)).to_df(), "o_orderkey", "parts")
 
 
 @_query("SELECT o_orderkey, to_json(coalesce(list(DISTINCT {'p_partkey': p_partkey, 'p_brand': p_brand} ORDER BY {'p_partkey': p_partkey, 'p_brand': p_brand}) FILTER (p_partkey IS NOT NULL), []))::VARCHAR AS nested FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey")
@@ -498,19 +508,19 @@ def page_with_inner_include(c):
     return _json(q.to_df(), "c_custkey", "orders")
 
 
-@_query("SELECT n_regionkey AS root_key, n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 2")
+@_query("SELECT n_regionkey AS root_key, n_nationkey, n_name, n_regionkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name LIKE '%A%'")
 def include_lazy(c):
-    return lazy_relation(select_from(c, "region").where(lt(col("region.r_regionkey"), 2)), "nations")
+    return lazy_relation(select_from(c, "region").where(e.like(col("region.r_name"), "%A%")), "nations")
 
 
-@_query("SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'click' WHERE c_custkey < 150 GROUP BY c_custkey")
+@_query("SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'click' AND value > 10 GROUP BY c_custkey")
 def morph_many_include(c):
-    return select_from(c, "customer").where(lt(col("customer.c_custkey"), 150)).include("clicks", ["event_id"]).to_df().select("c_custkey", F.size("clicks").cast("bigint").alias("n"))
+    return select_from(c, "customer").include("clicks", ["event_id"], where=gt(col("clicks.value"), 10)).to_df().select("c_custkey", F.size("clicks").cast("bigint").alias("n"))
 
 
-@_query("SELECT c_custkey, min(event_id) AS signup_id FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'signup' WHERE c_custkey < 150 GROUP BY c_custkey")
+@_query("SELECT c_custkey, min(event_id) AS signup_id FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'signup' AND value > 10 GROUP BY c_custkey")
 def morph_one_include(c):
-    return select_from(c, "customer").where(lt(col("customer.c_custkey"), 150)).include("signup", ["event_id"]).to_df().select("c_custkey", F.col("signup.event_id").alias("signup_id"))
+    return select_from(c, "customer").include("signup", ["event_id"], where=gt(col("signup.value"), 10)).to_df().select("c_custkey", F.col("signup.event_id").alias("signup_id"))
 
 
 @_query("SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'click' GROUP BY c_custkey")
@@ -601,14 +611,45 @@ for _n, _m, _s in [
     ("date_add", lambda: dates.date_add(_ts(), 1, "month"), "ts + INTERVAL 1 MONTH"), ("date_sub", lambda: dates.date_sub(_ts(), 36, "hour"), "ts - INTERVAL 36 HOUR"), ("date_diff", lambda: dates.date_diff(_ts(), e.cast(lit("2024-01-01"), "date")), "date_diff('day', DATE '2024-01-01', ts::DATE)::INT"),
     ("date_format", lambda: dates.date_format(_ts(), "%Y/%m/%d at %H:%M"), "strftime(ts, '%Y/%m/%d at %H:%M')"), ("from_unix_time", lambda: e.cast(dates.from_unix_time(col("events.event_id")), "timestamp"), "make_timestamp(event_id * 1000000)"),
     ("end_of_month", lambda: dates.end_of_month(_ts()), "last_day(ts)"), ("day_of_week", lambda: dates.day_of_week(_ts()), "dayofweek(ts)::INT"), ("week_of_year", lambda: dates.week_of_year(_ts()), "weekofyear(ts)::INT"),
-    ("date_trunc", lambda: dates.date_trunc("month", _ts()), "date_trunc('month', ts)::TIMESTAMP"), ("age", lambda: dates.age(e.cast(_ts(), "date"), e.cast(lit("2030-01-01"), "date")), None),
+    ("date_trunc", lambda: dates.date_trunc("month", _ts()), "date_trunc('month', ts)::TIMESTAMP"), ("age", lambda: dates.age(e.cast(_ts(), "date"), e.cast(lit("2030-01-01"), "date")), "datepart('year', age(DATE '2030-01-01', ts::DATE)) || ' years ' || datepart('month', age(DATE '2030-01-01', ts::DATE)) || ' mons ' || datepart('day', age(DATE '2030-01-01', ts::DATE)) || ' days'"),
     ("json_length", lambda: json_text.json_length(_props()), "len(json_keys(props))::INT"), ("json_set", lambda: json_text.json_set(_props(), "$.z", 5), "json_merge_patch(props, '{\"z\":5}')::VARCHAR"),
     ("json_contains", lambda: json_text.json_contains(_props(), {"k": 3}), "coalesce((props ->> '$.k') = '3', false)"),
 ]:
     _value(f"fn_{_n}", "events", "event_id", _m, _s)
-for _n, _m in [("now", dates.now), ("current_date", dates.current_date), ("current_time", dates.current_time), ("utc_now", dates.utc_now), ("local_time", dates.local_time), ("local_timestamp", dates.local_timestamp), ("unix_timestamp", dates.unix_timestamp), ("random", numbers.random), ("rand", numbers.rand)]:
-    # no SQL: another value at each run; what is compared is that there is one
-    _ALL[f"fn_{_n}"] = (lambda c, m=_m: select_from(c, "region").select("r_regionkey", v=e.is_not_null(m())), "SELECT r_regionkey, TRUE AS v FROM region")
+
+
+def _clock(name: str, make: Callable, of: Callable) -> None:
+    """Another value at each run, so no SQL for it: what is compared is that it lies within ten minutes of this machine's clock."""
+
+    def run(c):
+        zone = ZoneInfo(c.spark.conf.get("spark.sql.session.timeZone"))
+        now = datetime.datetime.now(datetime.timezone.utc)
+        return select_from(c, "region").select("r_regionkey", v=e.call(f"near {name} {now}", lambda x: of(x, now, zone), make()))
+
+    _ALL[f"fn_{name}"] = (run, "SELECT r_regionkey, TRUE AS v FROM region")
+
+
+def _near(seconds, now: datetime.datetime):
+    """Seconds since 1970 beside the machine's."""
+    return F.abs(seconds - F.lit(now.timestamp())) < 600
+
+
+def _time_of_day(x, now: datetime.datetime, zone: ZoneInfo):
+    at = now.astimezone(zone)
+    x = F.to_timestamp_ntz(F.concat(F.lit("2000-01-01 "), x))
+    away = F.abs(F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x) - F.lit(at.hour * 3600 + at.minute * 60 + at.second))
+    return F.least(away, 86400 - away) < 600
+
+
+_clock("now", dates.now, lambda x, now, zone: _near(x.cast("double"), now))
+_clock("unix_timestamp", dates.unix_timestamp, lambda x, now, zone: _near(x, now))
+_clock("utc_now", dates.utc_now, lambda x, now, zone: F.date_format(x, "yyyy-MM-dd HH").isin([(now + datetime.timedelta(minutes=m)).strftime("%Y-%m-%d %H") for m in (-10, 0, 10)]))
+_clock("local_timestamp", dates.local_timestamp, lambda x, now, zone: F.date_format(x, "yyyy-MM-dd HH").isin([(now + datetime.timedelta(minutes=m)).astimezone(zone).strftime("%Y-%m-%d %H") for m in (-10, 0, 10)]))
+_clock("current_date", dates.current_date, lambda x, now, zone: x.cast("string").isin([(now + datetime.timedelta(minutes=m)).astimezone(zone).strftime("%Y-%m-%d") for m in (-10, 0, 10)]))
+_clock("current_time", dates.current_time, _time_of_day)
+_clock("local_time", dates.local_time, _time_of_day)
+_clock("random", numbers.random, lambda x, now, zone: (x >= 0) & (x < 1))
+_clock("rand", numbers.rand, lambda x, now, zone: (x >= 0) & (x < 1))
 
 
 @_query("SELECT vec_id, len(list_append(embedding, 1.5::FLOAT))::INT AS n FROM embeddings")
@@ -635,13 +676,22 @@ def vec_knn(c):
     return select_from(c, "embeddings").select("vec_id", d=numbers.round_(d, 6)).order_by(asc(d), asc(col("embeddings.vec_id"))).limit(10)
 
 
+@_query(f"SELECT vec_id, label FROM embeddings ORDER BY list_distance({_dv}::DOUBLE[], {_list}), vec_id LIMIT 25")
+def vec_match(c):
+    return select_from(c, "embeddings").select("vec_id", "label").nearest("embedding", _unit, 25)
+
+
 # trees --------------------------------------------------------------------------------------------------------------
 
 _TREE = Tree("id", "parent", "lft", "rght", "depth")
 _PARENTS = "SELECT (r_regionkey + 1)::BIGINT AS id, NULL::BIGINT AS parent FROM region UNION ALL SELECT (100 + n_nationkey)::BIGINT, (n_regionkey + 1)::BIGINT FROM nation UNION ALL SELECT 1000 + s_suppkey, (100 + s_nationkey)::BIGINT FROM supplier"
-_RECURSIVE = f"""WITH RECURSIVE t AS MATERIALIZED ({_PARENTS}), p AS (SELECT id, parent, 0 AS depth, lpad(id::VARCHAR, 9, '0') AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, p.depth + 1, p.path || '/' || lpad(t.id::VARCHAR, 9, '0') FROM t JOIN p ON t.parent = p.id),
+#: Of a table of id, parent and place (its text order among its siblings), all that a nested set has.
+_NESTED = """WITH RECURSIVE t AS MATERIALIZED ({}), p AS (SELECT id, parent, 0 AS depth, place AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.id, t.parent, p.depth + 1, p.path || '/' || t.place FROM t JOIN p ON t.parent = p.id),
 o AS (SELECT *, row_number() OVER (ORDER BY path) AS place FROM p),
 s AS (SELECT a.id, a.parent, a.depth, 2 * a.place - a.depth - 1 AS lft, 2 * a.place - a.depth - 1 + 2 * (SELECT count(*) FROM p b WHERE starts_with(b.path, a.path || '/')) + 1 AS rght, path FROM o a)"""
+_PLACE = "lpad(id::VARCHAR, 9, '0')"
+_RECURSIVE = _NESTED.format(f"SELECT id, parent, {_PLACE} AS place FROM ({_PARENTS})")
+_ALL_OF_IT = " SELECT id, parent, lft::BIGINT AS lft, rght::BIGINT AS rght, depth::INT AS depth FROM s"
 
 
 def _tree(c):
@@ -701,18 +751,24 @@ def tree_descendant_count(c):
     return _tree(c).select("id", _TREE.descendant_count().alias("n"))
 
 
-@_query(f"SELECT id, CASE WHEN id = 102 THEN 4 ELSE parent END AS parent FROM ({_PARENTS})")
+@_query(_NESTED.format(f"SELECT id, CASE WHEN id = 102 THEN 4 ELSE parent END AS parent, CASE WHEN id = 102 THEN 'z' ELSE {_PLACE} END AS place FROM ({_PARENTS})") + _ALL_OF_IT)
 def tree_move(c):
-    t = _TREE.move(_tree(c).cache(), 102, 4)
-    sound = _TREE.validate(t).select(F.col("id"), F.lit(-1).cast("bigint").alias("parent"))
-    return t.select("id", "parent").union(sound)
+    return _TREE.move(_tree(c).cache(), 102, 4)
 
 
-@_query(f"SELECT id, CASE WHEN id = 102 THEN NULL WHEN parent = 102 THEN (SELECT parent FROM ({_PARENTS}) WHERE id = 102) ELSE parent END AS parent FROM ({_PARENTS})")
+@_query(_NESTED.format(f"SELECT id, CASE WHEN id = 102 THEN NULL WHEN parent = 102 THEN (SELECT parent FROM ({_PARENTS}) WHERE id = 102) ELSE parent END AS parent, CASE WHEN id = 102 THEN 'z' WHEN parent = 102 THEN '000000102' || {_PLACE} ELSE {_PLACE} END AS place FROM ({_PARENTS})") + _ALL_OF_IT)
 def tree_remove(c):
-    t = _TREE.remove(_tree(c).cache(), 102)
-    sound = _TREE.validate(t).select(F.col("id"), F.lit(-1).cast("bigint").alias("parent"))
-    return t.select("id", "parent").union(sound)
+    return _TREE.remove(_tree(c).cache(), 102)
+
+
+@_query(_NESTED.format(f"SELECT id, parent, CASE WHEN id = 108 THEN '000000102a' ELSE {_PLACE} END AS place FROM ({_PARENTS})") + _ALL_OF_IT)
+def tree_move_up(c):
+    return _TREE.move_up(_tree(c).cache(), 108)
+
+
+@_query(_NESTED.format(f"SELECT id, parent, {_PLACE} AS place FROM ({_PARENTS} UNION ALL SELECT 9999::BIGINT, 3::BIGINT)") + _ALL_OF_IT)
+def tree_insert(c):
+    return _TREE.insert(_tree(c).cache(), {"id": 9999}, 3)
 
 
 @_query(_RECURSIVE + " SELECT id FROM s WHERE rght - lft = 1")
@@ -730,14 +786,42 @@ def tree_list(c):
     return _TREE.listed(_tree(c), "id")
 
 
-@_query("SELECT NULL::BIGINT AS id, NULL::VARCHAR AS problem WHERE FALSE")
+#: Faults in a sound tree: two nodes whose ends change places, one that ends beyond its parent, one below 1, one turned round.
+_FAULTY = "CASE WHEN id = 104 THEN rght + 3 WHEN id = 2 THEN 100000 WHEN id = 5 THEN lft - 1 ELSE rght END"
+_FAULTS = _RECURSIVE.rstrip() + f""", f AS (SELECT id, CASE WHEN id = 1 THEN 0 ELSE lft END AS lft, {_FAULTY} AS rght FROM s), g AS (SELECT * FROM f WHERE lft < rght), b AS (SELECT id, unnest([lft, rght]) AS at FROM g)
+SELECT id, 'lft must be below rght' AS problem FROM f WHERE lft >= rght UNION ALL SELECT id, 'lft must be 1 or more' FROM f WHERE lft < rght AND lft < 1
+UNION ALL SELECT DISTINCT x.id, 'a bound is shared' FROM b AS x JOIN b AS y ON x.at = y.at AND x.id <> y.id
+UNION ALL SELECT DISTINCT x.id, 'crosses another node' FROM g AS x JOIN g AS y ON x.lft < y.lft AND y.lft < x.rght AND x.rght < y.rght OR y.lft < x.lft AND x.lft < y.rght AND y.rght < x.rght"""
+
+
+@_query(_FAULTS)
 def tree_validate(c):
+    left = "CASE WHEN id = 1 THEN 0 ELSE lft END"
+    return _TREE.validate(_tree(c).selectExpr("id", "parent", f"{left} AS lft", f"{_FAULTY} AS rght", "depth"))
+
+
+@_query("SELECT NULL::BIGINT AS id, NULL::VARCHAR AS problem WHERE FALSE")
+def tree_validate_sound(c):
     return _TREE.validate(_tree(c))
 
 
-@_query(_RECURSIVE + " SELECT id, parent FROM s WHERE NOT (lft >= (SELECT lft FROM s WHERE id = 2) AND rght <= (SELECT rght FROM s WHERE id = 2))")
+_NATION_TREE = Tree("id", "parent", "lft", "rght", "depth", ("region",))
+
+
+@_query("SELECT n_nationkey AS id, 2 * row_number() OVER w - 1 AS lft, 2 * row_number() OVER w AS rght FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
+def tree_scopes(c):
+    """Trees of one table, a tree for each region, and what each scope holds."""
+    rows = c.frame("nation").selectExpr("n_nationkey AS id", "CAST(NULL AS INT) AS parent", "CAST(NULL AS BIGINT) AS lft", "CAST(NULL AS BIGINT) AS rght", "CAST(NULL AS INT) AS depth", "n_regionkey AS region")
+    t = _NATION_TREE.recover(rows)
+    whole = _NATION_TREE.within(t, region=0)
+    for r in range(1, 5):
+        whole = whole.union(_NATION_TREE.within(t, region=r))
+    return whole.select("id", "lft", "rght")
+
+
+@_query(_NESTED.format(f"SELECT id, parent, {_PLACE} AS place FROM ({_PARENTS}) WHERE id <> 2") + _ALL_OF_IT)
 def tree_delete(c):
-    return _TREE.delete(_tree(c).cache(), 2)[0].select("id", "parent")
+    return _TREE.delete(_tree(c).cache(), 2)[0]
 
 
 # changes ------------------------------------------------------------------------------------------------------------
@@ -808,9 +892,323 @@ def bulk_delete(c):
 
 @_query(f"{_C} UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def insert_select(c):
-    from tessella.sources.catalog import insert_select as put
+    return sources.insert_select(_customers(c), c.frame("supplier").select("s_suppkey", "s_name", "s_acctbal"))
+
+
+# sessions -----------------------------------------------------------------------------------------------------------
+
+
+def _union_of(*frames: DataFrame) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'Changed' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 90, 'New', 1")
+def session_update(c):
+    """Found, changed, added and removed rows of one session; the same key gives the same object."""
+    s = Session(c)
+    nation = c.definition("nation")
+    row = s.find(nation, 3)
+    row["n_name"] = "Changed"
+    if s.find(nation, 3) is not row:
+        raise AssertionError("two objects for one key")
+    s.add(nation, {"n_nationkey": 90, "n_name": "New", "n_regionkey": 1})
+    s.remove(nation, s.find(nation, 7))
+    s.commit()
+    return c.frame("nation")
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_nationkey = 1 THEN 'kept' ELSE n_name END AS n_name FROM nation")
+def session_transaction(c):
+    """A transaction that fails leaves nothing; one that ends is kept."""
+    s, nation = Session(c), c.definition("nation")
+    try:
+        with s.transaction():
+            s.find(nation, 2)["n_name"] = "lost"
+            s.flush()
+            raise LookupError
+    except LookupError:
+        pass
+    with s.transaction():
+        s.find(nation, 1)["n_name"] = "kept"
+    return c.frame("nation").select("n_nationkey", "n_name")
+
+
+@_query("SELECT 'before' AS told, 91::BIGINT AS n UNION ALL SELECT 'after', 91 UNION ALL SELECT 'event', 5")
+def session_hooks(c):
+    s, nation, told = Session(c), c.definition("nation"), []
+    s.on("before_insert", lambda t, r: told.append(("before", r["n_nationkey"])))
+    s.on("after_insert", lambda t, r: told.append(("after", r["n_nationkey"])))
+    s.on("imported", lambda n: told.append(("event", n)))
+    s.add(nation, {"n_nationkey": 91, "n_name": "N", "n_regionkey": 0})
+    s.raise_event("imported", 5)
+    s.commit()
+    return c.spark.createDataFrame(told, "told string, n long")
+
+
+_GRAPH = "(VALUES (1, 'One', 11, 'Child 11', 200, 'S 200'), (1, 'One', 12, 'Child 12', 201, 'S 201'), (7, 'Seven', 13, 'Child 13', 202, 'S 202')) AS g(r, rn, n, nn, s, sn)"
+
+
+@_query(f"WITH g AS (SELECT * FROM {_GRAPH}) SELECT 'region' AS t, coalesce(g.r, r_regionkey)::BIGINT AS id, coalesce(g.rn, r_name) AS name, NULL::BIGINT AS up FROM region FULL JOIN (SELECT DISTINCT r, rn FROM g) AS g ON g.r = r_regionkey UNION ALL SELECT 'nation', coalesce(n, n_nationkey), coalesce(nn, n_name), CASE WHEN n IS NULL AND n_regionkey IN (1, 7) THEN NULL ELSE coalesce(r, n_regionkey) END FROM nation FULL JOIN g ON n = n_nationkey UNION ALL SELECT 'supplier', coalesce(s, s_suppkey), coalesce(sn, s_name), CASE WHEN s IS NULL AND s_nationkey IN (11, 12, 13) THEN NULL ELSE coalesce(n, s_nationkey) END FROM supplier FULL JOIN g ON s = s_suppkey")
+def graph_save(c):
+    """Regions with nations with suppliers: inserted or updated, and children that the payload lacks detached."""
+    payload = lambda r, rn, *ns: {"r_regionkey": r, "r_name": rn, "nations": [{"n_nationkey": n, "n_name": f"Child {n}", "suppliers": [{"s_suppkey": k, "s_name": f"S {k}"}]} for n, k in ns]}
+    Session(c).save_graphs(c.definition("region"), [payload(1, "One", (11, 200), (12, 201)), payload(7, "Seven", (13, 202))], prune_missing=True)
+    r, n, s = (c.frame(t) for t in ("region", "nation", "supplier"))
+    return _union_of(
+        r.selectExpr("'region' AS t", "CAST(r_regionkey AS BIGINT) AS id", "r_name AS name", "CAST(NULL AS BIGINT) AS up"), n.selectExpr("'nation'", "CAST(n_nationkey AS BIGINT)", "n_name", "CAST(n_regionkey AS BIGINT)"), s.selectExpr("'supplier'", "s_suppkey", "s_name", "CAST(s_nationkey AS BIGINT)"),
+    )
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey = 5 THEN 'Patched' ELSE c_name END AS c_name, CASE WHEN c_custkey = 5 THEN 4 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey = 5 THEN 'Four' END AS nation FROM customer")
+def graph_patch(c):
+    """A row that is there, with the row it belongs to; one that isn't there raises."""
+    s, customer = Session(c), c.definition("customer")
+    s.patch_graph(customer, {"c_custkey": 5, "c_name": "Patched", "nation": {"n_nationkey": 4, "n_name": "Four"}})
+    try:
+        s.patch_graph(customer, {"c_custkey": -1, "c_name": "x"})
+        raise AssertionError("a row that isn't there was patched")
+    except LookupError:
+        pass
+    named = c.frame("nation").where("n_name = 'Four'").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
+    return c.frame("customer").select("c_custkey", "c_name", "c_nationkey").join(named, "c_nationkey", "left").select("c_custkey", "c_name", "c_nationkey", F.when(F.col("c_custkey") == 5, F.col("nation")).alias("nation"))
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_nationkey IN (2, 3) THEN 0 WHEN n_nationkey = 6 OR n_regionkey = 4 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+def relation_changes(c):
+    """Children attached, detached and cleared; all of a relation in one join."""
+    s, region = Session(c), c.definition("region")
+    s.attach(region, "nations", 0, [2, 3])
+    s.detach(region, "nations", 1, [6])
+    s.clear(region, "nations", 4)
+    s.flush()
+    return c.frame("nation").select("n_nationkey", "n_regionkey")
+
+
+@_query("SELECT l_orderkey, l_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_orderkey <> 1 UNION ALL SELECT 1, 10 UNION ALL SELECT 1, 11 UNION SELECT 2, 12")
+def relation_sync(c):
+    """Pivot rows of a many-to-many relation: one order's set, another's extended."""
+    c.put("lineitem", c.frame("lineitem").select("l_orderkey", "l_partkey").distinct())
+    s, orders = Session(c), c.definition("orders")
+    s.sync(orders, "parts", 1, [10, 11])
+    s.attach(orders, "parts", 2, [12])
+    s.flush()
+    return c.frame("lineitem").select("l_orderkey", "l_partkey")
+
+
+@_query("SELECT max(o_totalprice) AS top, count(*) AS n FROM orders WHERE o_custkey = 10")
+def procedure_call(c):
+    s = Session(c)
+    s.procedures["totals"] = lambda session, customer: [r.asDict() for r in session.catalog.frame("orders").where(F.col("o_custkey") == customer).agg(F.max("o_totalprice").alias("top"), F.count(F.lit(1)).alias("n")).collect()]
+    out, _ = s.call_procedure("totals", {"customer": 10}, ("top", "n"))
+    return c.spark.createDataFrame([(out["top"], out["n"])], "top double, n long")
+
+
+# changed rows, as they are returned
+
+
+@_query("SELECT c_custkey, c_name, 0.0::DOUBLE AS c_acctbal FROM customer WHERE c_acctbal < 0")
+def update_returning(c):
+    return dml.update_returning(_customers(c), {"c_acctbal": 0.0}, F.col("c_acctbal") < 0)[1]
+
+
+@_query(_C + " WHERE c_acctbal < 0")
+def delete_returning(c):
+    return dml.delete_returning(_customers(c), F.col("c_acctbal") < 0)[1]
+
+
+@_query("SELECT * FROM region UNION ALL VALUES (50, 'FIFTY'), (51, 'FIFTY-ONE')")
+def insert_values(c):
+    return sources.insert_rows(c.frame("region"), [{"r_regionkey": 50, "r_name": "FIFTY"}, {"r_regionkey": 51, "r_name": "FIFTY-ONE"}])
+
+
+# entities, results, pages -------------------------------------------------------------------------------------------
+
+
+@dataclasses.dataclass
+class Region:
+    r_regionkey: int
+    r_name: str
+
+
+_REGIONS = lambda: entity_table(Region, "region", "r_regionkey")
+_as_rows = lambda c, rows, kinds: c.spark.createDataFrame(rows, kinds)
 
-    return put(_customers(c), c.frame("supplier").select("s_suppkey", "s_name", "s_acctbal"))
+
+@_query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
+def entity_scan(c):
+    found = materialize(select_from(sources.Catalog(c.spark, c.root), _REGIONS()).to_df(), Region)
+    return _as_rows(c, [(r.r_regionkey, r.r_name) for r in found], "r_regionkey long, r_name string")
+
+
+@_query("SELECT n_name FROM nation WHERE n_regionkey = 2")
+def pluck(c):
+    return _as_rows(c, [(x,) for x in select_from(c, "nation").where(eq(col("nation.n_regionkey"), 2)).pluck("n_name")], "n_name string")
+
+
+@_query("SELECT n_nationkey, to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::VARCHAR AS nested FROM nation JOIN region ON r_regionkey = n_regionkey")
+def columns_deep(c):
+    return _json(select_columns_deep(select_from(c, "nation"), ["n_nationkey"], {"region": ["r_name"]}).to_df(), "n_nationkey", "region")
+
+
+@_query("SELECT n_nationkey, to_json(coalesce(list({'s_suppkey': s_suppkey} ORDER BY s_suppkey) FILTER (s_suppkey IS NOT NULL), []))::VARCHAR AS nested FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY n_nationkey")
+def include_updated(c):
+    """A later call for a relation takes the place of the earlier."""
+    q = select_from(c, "nation").include("suppliers", kind="inner").include("suppliers", ["s_suppkey"], where=gt(col("suppliers.s_acctbal"), 0))
+    return _json(q.to_df(), "n_nationkey", "suppliers")
+
+
+@_query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 1")
+def first_row(c):
+    row = select_from(c, "customer").select("c_custkey", "c_name").order_by(desc(_b()), asc(col("customer.c_custkey"))).first_or_fail()
+    return _as_rows(c, [(row["c_custkey"], row["c_name"])], "c_custkey long, c_name string")
+
+
+@_query("SELECT o_orderkey, 2 AS page, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') > 20 AS more FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 10)")
+def filtered_page(c):
+    page = execute_filtered_paged(select_from(c, "orders").select("o_orderkey", "o_totalprice"), {"o_orderstatus": "P"}, 2, 10, "-total", {"total": col("orders.o_totalprice")})
+    said = page.response()
+    return _as_rows(c, [(r["o_orderkey"], said["page"], said["totalItems"], said["hasNextPage"]) for r in page.items], "o_orderkey long, page int, total long, more boolean")
+
+
+@_query("SELECT c_custkey, (row_number() OVER (ORDER BY c_mktsegment DESC, c_custkey) + 6)::BIGINT // 7 AS page FROM (SELECT * FROM customer ORDER BY c_mktsegment DESC, c_custkey LIMIT 21)")
+def cursor_walk(c):
+    """Three pages, each after the last cursor of the one before."""
+    q, out, after = _by_segment(c), [], None
+    for n in range(1, 4):
+        page = execute_cursor(q, first=7, after=after)
+        out += [(r["c_custkey"], n) for r in page.items]
+        after = page.end_cursor
+    return _as_rows(c, out, "c_custkey long, page long")
+
+
+@_query("SELECT n_nationkey, n_name AS name, coalesce(nullif(n_regionkey, 1), -1) AS region FROM nation")
+def shaped_response(c):
+    df = select_from(c, "nation").select("n_nationkey", "n_name", n_regionkey=_nulled()).to_df()
+    return to_response(df, ["n_nationkey", "n_name", "n_regionkey"], names={"n_name": "name", "n_regionkey": "region"}, defaults={"n_regionkey": -1})
+
+
+@_query("SELECT to_json({'s_suppkey': s_suppkey, 's_name': s_name, 's_nationkey': s_nationkey})::VARCHAR AS json FROM supplier")
+def json_rows(c):
+    return as_json(select_from(c, "supplier").select("s_suppkey", "s_name", "s_nationkey").to_df())
+
+
+@_query("SELECT 'unknown operator' AS said UNION ALL SELECT 'missing operator'")
+def filter_guards(c):
+    """What must raise, lest it match all rows."""
+    said = []
+    for name, where in (("unknown operator", {"o_orderstatus": {"equal": "P"}}), ("missing operator", {"lines": {"l_quantity": 5}})):
+        try:
+            apply_filter(select_from(c, "orders"), where)
+        except ValueError:
+            said.append((name,))
+    return _as_rows(c, said, "said string")
+
+
+@_query("SELECT (SELECT count(*) FROM region) AS first, (SELECT count(*) FROM region) + 1 AS later, 2 AS made")
+def cached_query(c):
+    """Kept rows are read again, until their table is written."""
+    cache = QueryCache().bind(c)
+    q, counts = select_from(c, "region").select("r_regionkey"), []
+    for step in range(3):
+        if step == 2:
+            c.put("region", sources.insert_rows(c.frame("region"), [{"r_regionkey": 77, "r_name": "x"}]))
+        counts.append(q.cached(cache, "regions", "5m").count())
+    cache.invalidate("regions")
+    return _as_rows(c, [(counts[1], counts[2], len(set(counts)))], "first long, later long, made int")
+
+
+@_query("SELECT 'flagship' AS name, (SELECT count(DISTINCT r_regionkey) FROM region) AS n, true AS planned")
+def logged_query(c):
+    runner = QueryRunner()
+    rows = runner.run("flagship", select_from(c, "region").select("r_regionkey").distinct())
+    return _as_rows(c, [(runner.log[0].name, len(rows), "HashAggregate" in runner.log[0].plan)], "name string, n long, planned boolean")
+
+
+# schemas ------------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT column_name AS name, CASE column_type WHEN 'INTEGER' THEN 'INT' WHEN 'VARCHAR' THEN 'TEXT' ELSE column_type END AS type FROM (DESCRIBE orders)")
+def introspected_columns(c):
+    return _as_rows(c, [(n, x.type) for n, x in sources.introspect("orders", c.frame("orders")).columns.items()], "name string, type string")
+
+
+@_query("SELECT * FROM (VALUES ('add_column', 'r_size', true), ('alter_column', 'r_regionkey', false), ('drop_column', 'r_name', false), ('add_index', 'r_regionkey', true), ('create_table', NULL, true), ('drop_table', NULL, false)) AS t(kind, column_name, safe)")
+def schema_diff(c):
+    wanted = table("region", {"r_regionkey": column("BIGINT", primary=True), "r_size": "INT"}, indexes=(("r_regionkey",),))
+    found = changes.diff_schema([wanted, table("added", {"id": "INT"})], {"region": c.frame("region"), "nation": c.frame("nation")})
+    return _as_rows(c, [(x.kind, x.column, x.safe) for x in found], "kind string, column_name string, safe boolean")
+
+
+@_query("SELECT r_regionkey::BIGINT AS r_regionkey, 3 AS r_size FROM region")
+def schema_synchronised(c):
+    wanted = table("region", {"r_regionkey": column("BIGINT", primary=True), "r_size": column("INT", default=3)})
+    changes.synchronise(c, [wanted], {"region": c.frame("region")}, allow_destructive=True)
+    return c.frame("region")
+
+
+@_query("SELECT r_regionkey AS id, r_name AS name, 'none' AS note FROM region")
+def created_table(c):
+    """A table made by its CREATE TABLE text, filled with the columns it shares; what isn't given takes its default."""
+    name = f"tessella_created_{uuid.uuid4().hex}"
+    t = table(name, {"id": column("INT", primary=True), "name": column("TEXT", comment="it's the name"), "note": column("TEXT", default="none")}, indexes=(("name",),))
+    folder = shared_path(c.spark, "created")
+    c.spark.sql(changes.create_table_sql(t, folder))
+    c.spark.sql(f"INSERT INTO {name} (id, name) SELECT r_regionkey, r_name FROM parquet.`{c.root}/region.parquet`")
+    out = c.spark.table(name).collect()
+    c.spark.sql(f"DROP TABLE {name}")
+    return _as_rows(c, [tuple(r) for r in out], "id int, name string, note string")
+
+
+@_query("SELECT column_name AS name, CASE WHEN column_type IN ('INTEGER', 'BIGINT') THEN 'integer' WHEN column_type = 'DOUBLE' THEN 'number' ELSE 'string' END AS type FROM (DESCRIBE customer)")
+def openapi_columns(c):
+    said = openapi.table_schema(c.definition("customer"))["properties"]
+    return _as_rows(c, [(n, x["type"]) for n, x in said.items()], "name string, type string")
+
+
+@_query("SELECT n_nationkey AS id, n_name AS name, 't' AS kind FROM nation")
+def copied_through_files(c):
+    """Written and read again as ORC, JSON and CSV: what the three agree on."""
+    df = c.frame("nation").selectExpr("n_nationkey AS id", "n_name AS name")
+    found = []
+    for kind in ("orc", "json", "csv"):
+        path = shared_path(c.spark, kind)
+        sources.write_table(df, path, kind)
+        found.append(sources.read_table(c.spark, kind, path, df.schema))
+    return found[0].intersect(found[1]).intersect(found[2]).withColumn("kind", F.lit("t"))
+
+
+# correlated and lateral ---------------------------------------------------------------------------------------------
+
+
+@_query("SELECT n_nationkey, (SELECT max(c_acctbal) FROM customer WHERE c_nationkey = n_nationkey) AS top FROM nation")
+def select_subquery_correlated(c):
+    q = select_from(c, "customer").select(m=e.max_(_b())).where(eq(col("customer.c_nationkey"), outer_ref("nation.n_nationkey")))
+    return select_from(c, "nation").select("n_nationkey").select_subquery("top", q)
+
+
+@_query("SELECT c_custkey FROM customer a WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer b WHERE b.c_nationkey = a.c_nationkey)")
+def scalar_subquery_correlated(c):
+    q = select_from(c, "customer").as_("b").select(m=e.avg(col("b.c_acctbal"))).where(eq(col("b.c_nationkey"), outer_ref("a.c_nationkey")))
+    return select_from(c, "customer").as_("a").select("c_custkey").where(gt(col("a.c_acctbal"), scalar(q)))
+
+
+@_query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def join_function(c):
+    words = e.call("words", lambda x: F.split(x, " "), col("part.p_name"))
+    return select_from(c, "part").join_function("explode", words, alias="w", columns=("word",)).select("part.p_partkey", word=col("w.word"))
+
+
+@_query("SELECT event_id, props ->> '$.k' AS k FROM events")
+def join_function_left(c):
+    return select_from(c, "events").join_function("json_tuple", col("events.props"), lit("k"), alias="j", columns=("k",), kind="left").select("events.event_id", k=col("j.k"))
+
+
+@_query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def distinct_columns(c):
+    return select_from(c, "customer").select("c_nationkey", "c_mktsegment").distinct("customer.c_nationkey")
 
 
 # validation and streams ---------------------------------------------------------------------------------------------
@@ -831,6 +1229,21 @@ def validate_cpf(c):
     return c.frame("customer").select("c_custkey", validate.cpf(F.lpad(number, 11, "0")).alias("ok"))
 
 
+@_query(
+    "WITH x AS (SELECT s_suppkey, list_transform(range(1, 15), lambda i: substr(lpad((11222333000100 + s_suppkey % 3 * 81)::VARCHAR, 14, '0'), i, 1)::INT) AS d FROM supplier), "
+    "y AS (SELECT *, list_sum(list_transform(range(1, 13), lambda i: d[i] * [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2][i])) % 11 AS a, list_sum(list_transform(range(1, 14), lambda i: d[i] * [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2][i])) % 11 AS b FROM x) "
+    "SELECT s_suppkey, d[13] = CASE WHEN a < 2 THEN 0 ELSE 11 - a END AND d[14] = CASE WHEN b < 2 THEN 0 ELSE 11 - b END AS ok FROM y"
+)
+def validate_cnpj(c):
+    number = F.lpad((F.lit(11222333000100) + F.col("s_suppkey") % 3 * 81).cast("string"), 14, "0")
+    return c.frame("supplier").select("s_suppkey", validate.country_check("BR", "cnpj", number).alias("ok"))
+
+
+@_query("SELECT p_partkey, regexp_full_match(p_partkey::VARCHAR || '000-100', '[0-9]{5}-?[0-9]{3}') AS ok FROM part")
+def validate_cep(c):
+    return c.frame("part").select("p_partkey", validate.cep(F.concat(F.col("p_partkey").cast("string"), F.lit("000-100"))).alias("ok"))
+
+
 @_query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k")
 def session_events(c):
     return windows.sessions(c.frame("events"), "ts", "6 hours", ["user_id"], [F.count(F.lit(1)).alias("n")])

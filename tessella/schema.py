@@ -118,6 +118,7 @@ class TableDef:
     checks: tuple[str, ...] = ()
     comment: str = ""
     schema_name: str | None = None
+    tree: Any = None  #: the columns of a nested-set tree, if the table is one
 
     @property
     def key(self) -> str:
@@ -140,7 +141,7 @@ class TableDef:
         return self.relations[name]
 
     def struct(self) -> T.StructType:
-        meta = lambda c: {k: getattr(c, k) for k in ("primary", "unique", "check", "comment") if getattr(c, k)}
+        meta = lambda c: {k: list(v) if isinstance(v, tuple) else v for k in ("primary", "unique", "check", "comment", "references", "default", "on_delete", "on_update") if (v := getattr(c, k)) not in (None, False, "")}
         return T.StructType([T.StructField(n, c.spark, c.nullable and not c.primary, meta(c)) for n, c in self.columns.items()])
 
     def with_relations(self, **relations: Relation) -> TableDef:
@@ -166,4 +167,6 @@ def entity_table(cls: type, name: str | None = None, primary: str = "id", relati
         own = f.metadata.get("column")
         kind = (f.type if isinstance(f.type, str) else f.type.__name__).split("|")[0].strip()
         made[f.name] = own if own is not None else column(PYTHON_TYPES[kind], primary=f.name == primary)
-    return table(name or cls.__name__.lower(), made, relations)
+    made_table = table(name or cls.__name__.lower(), made, relations)
+    declared = getattr(cls, "__tree__", None)
+    return made_table if declared is None else declared(made_table)

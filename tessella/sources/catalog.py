@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark, self.root = spark, root
         self.definitions: dict[str, TableDef] = {}
+        self.listeners: list[Callable[[str], Any]] = []
         self._frames: dict[str, DataFrame] = {}
 
     def define(self, *tables: TableDef) -> Catalog:
@@ -24,7 +26,10 @@ class Catalog:
         return self
 
     def put(self, name: str, frame: DataFrame) -> Catalog:
+        """Another snapshot of a table; whoever listens is told its name."""
         self._frames[name] = frame
+        for f in self.listeners:
+            f(name)
         return self
 
     def definition(self, name: str) -> TableDef:
@@ -51,7 +56,11 @@ class Catalog:
         return dict(self._frames)
 
     def restore(self, frames: dict[str, DataFrame]) -> None:
+        changed = [n for n in self._frames | frames if self._frames.get(n) is not frames.get(n)]
         self._frames = dict(frames)
+        for n in changed:
+            for f in self.listeners:
+                f(n)
 
 
 def read_table(spark: SparkSession, kind: str, path: str, schema: T.StructType | str | None = None, **options: Any) -> DataFrame:
@@ -68,6 +77,11 @@ def read_jdbc(spark: SparkSession, url: str, name: str, key: str | None = None,
     return reader.load()
 
 
+def write_jdbc(frame: DataFrame, url: str, name: str, mode: str = "append", partitions: int = 16, batch: int = 10_000, **options: Any) -> None:
+    """A frame into a table of another database, by at most so many connections, in batches."""
+    frame.coalesce(partitions).write.format("jdbc").mode(mode).options(url=url, dbtable=name, batchsize=batch, **options).save()
+
+
 def write_table(frame: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition_by: Iterable[str] = (), **options: Any) -> None:
     frame.write.format(kind).mode(mode).options(**options).partitionBy(*partition_by).save(path)
 
@@ -97,13 +111,70 @@ def insert_select(frame: DataFrame, query: DataFrame) -> DataFrame:
 SQL_TYPES = {"int": "INT", "bigint": "BIGINT", "string": "TEXT", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMPTZ", "timestamp_ntz": "TIMESTAMP", "binary": "BLOB", "smallint": "SMALLINT", "tinyint": "TINYINT", "array<float>": "VECTOR"}
 
 
+#: SQL types of an information_schema's.
+FOREIGN_TYPES = {"integer": "INT", "int": "INT", "int4": "INT", "bigint": "BIGINT", "int8": "BIGINT", "smallint": "SMALLINT", "tinyint": "TINYINT", "double": "DOUBLE", "double precision": "DOUBLE", "real": "FLOAT", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp without time zone": "TIMESTAMP", "timestamp with time zone": "TIMESTAMPTZ", "blob": "BLOB", "bytea": "BLOB"}
+
+
 def introspect(name: str, frame: DataFrame, primary: str | None = None) -> TableDef:
-    """A definition read off a table's schema."""
-    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
-    made = {n: ColumnDef(SQL_TYPES.get(k, k.upper() if k.startswith("decimal") else "TEXT"), n, primary=n == primary, nullable=frame.schema[n].nullable) for n, k in kinds.items()}
+    """A definition read off a table's schema: types, nulls, and the keys, checks, defaults and comments that its metadata holds."""
+    made = {}
+    for f in frame.schema:
+        kind, meta = f.dataType.simpleString(), f.metadata or {}
+        said = {k: meta[k] for k in ("unique", "check", "comment", "default", "on_delete", "on_update") if k in meta}
+        if "references" in meta:
+            said["references"] = tuple(meta["references"])
+        key = f.name == primary if primary is not None else bool(meta.get("primary"))
+        made[f.name] = ColumnDef(SQL_TYPES.get(kind, kind.upper() if kind.startswith("decimal") else "TEXT"), f.name, primary=key, nullable=f.nullable, **said)
     return table(name, made)
 
 
+@dataclass(frozen=True)
+class Introspected:
+    """What a database holds: tables, views by name, and names of routines."""
+
+    tables: dict[str, TableDef]
+    views: dict[str, TableDef]
+    routines: tuple[str, ...]
+
+
+def introspect_database(spark: SparkSession, database: str | None = None) -> Introspected:
+    """All tables and views of a database of Spark's catalog, and the functions that users added."""
+    found: dict[bool, dict[str, TableDef]] = {False: {}, True: {}}
+    for t in spark.catalog.listTables(database):
+        full = t.name if t.isTemporary else ".".join([*(t.namespace or []), t.name])
+        found[t.tableType in ("VIEW", "TEMPORARY")][t.name] = introspect(t.name, spark.table(full))
+    routines = tuple(sorted(r[0] for r in spark.sql("SHOW USER FUNCTIONS").collect()))
+    return Introspected(found[False], found[True], routines)
+
+
 def introspect_all(spark: SparkSession, database: str | None = None) -> dict[str, TableDef]:
     """Definitions of all tables and views of Spark's catalog."""
-    return {t.name: introspect(t.name, spark.table(".".join([*(t.namespace or []), t.name]) if not t.isTemporary else t.name)) for t in spark.catalog.listTables(database)}
+    found = introspect_database(spark, database)
+    return found.tables | found.views
+
+
+def introspect_information_schema(columns: DataFrame, usage: DataFrame, constraints: DataFrame, references: DataFrame | None = None) -> dict[str, TableDef]:
+    """Definitions from another database's information_schema, as read by ``read_jdbc``: its views ``columns``, ``key_column_usage``,
+    ``table_constraints`` and ``referential_constraints``. A schema has few rows: they come to the driver."""
+    low = lambda df: df.toDF(*[c.lower() for c in df.columns])
+    kinds = {r["constraint_name"]: r["constraint_type"] for r in low(constraints).select("constraint_name", "constraint_type").collect()}
+    uses = low(usage).select("constraint_name", "table_name", "column_name", "ordinal_position").orderBy("constraint_name", "ordinal_position").collect()
+    by_name: dict[str, list[Any]] = {}
+    for u in uses:
+        by_name.setdefault(u["constraint_name"], []).append(u)
+    targets = {r["constraint_name"]: r["unique_constraint_name"] for r in low(references).select("constraint_name", "unique_constraint_name").collect()} if references is not None else {}
+    flags: dict[tuple[str, str], dict[str, Any]] = {}
+    for name, own in by_name.items():
+        for i, u in enumerate(own):
+            said = flags.setdefault((u["table_name"], u["column_name"]), {})
+            if kinds.get(name) == "PRIMARY KEY":
+                said["primary"] = True
+            elif kinds.get(name) == "UNIQUE" and len(own) == 1:
+                said["unique"] = True
+            elif kinds.get(name) == "FOREIGN KEY" and i < len(there := by_name.get(targets.get(name, ""), [])):
+                said["references"] = (there[i]["table_name"], there[i]["column_name"])
+    out: dict[str, dict[str, ColumnDef]] = {}
+    for c in low(columns).select("table_name", "column_name", "data_type", "is_nullable", "ordinal_position").orderBy("table_name", "ordinal_position").collect():
+        kind = FOREIGN_TYPES.get(c["data_type"].lower().partition("(")[0].strip(), "TEXT")
+        out.setdefault(c["table_name"], {})[c["column_name"]] = ColumnDef(kind, c["column_name"], nullable=c["is_nullable"].upper() == "YES", **flags.get((c["table_name"], c["column_name"]), {}))
+    return {t: table(t, cs) for t, cs in out.items()}

@@ -103,6 +103,8 @@ def test_relation_filters(shop):
     assert ids(apply_filter(q, {"projects": {"every": {"name": {"in": ["p", "q"]}}}})) == [1, 2]
     with pytest.raises(ValueError):
         apply_filter(q, {"orders": {"total": 1}})
+    with pytest.raises(ValueError):
+        apply_filter(q, {"name": {"equal": "Alice"}})
     some, none = (set(ids(apply_filter(q, {"orders": {k: {"status": "open"}}}))) for k in ("some", "none"))
     assert some | none == {1, 2, 3} and not some & none
     assert ids(select_from(shop, USERS).select("id").where_has("projects")) == [1, 2]
@@ -340,3 +342,131 @@ def test_python_functions_and_log(spark, shop):
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         runner.run("bad", spark.range(3).selectExpr("1 / (id - 1)"))
     assert runner.log[1].error
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_graphs_take_one_join_a_table(shop):
+    s = Session(shop)
+    s.save_graph(USERS, {"id": 1, "name": "A", "orders": [{"id": 100 + i, "total": i} for i in range(200)], "projects": [{"id": 50 + i, "name": f"p{i}"} for i in range(200)]}, prune_missing=True)
+    assert [joins(shop.frame(t)) for t in ("users", "orders", "projects", "assignments")] == [1, 2, 1, 2]
+    assert shop.frame("orders").where("user_id = 1").count() == 200 and shop.frame("orders").where("id <= 3").isEmpty()
+    assert shop.frame("assignments").where("user_id = 1").count() == 200
+    for i in range(20):
+        s.add(ORDERS, {"id": 1000 + i, "user_id": 2, "total": i})
+    s.find(USERS, 2)["name"] = "Bobby"
+    s.find(USERS, 3)["role"] = "c"
+    s.flush()
+    assert joins(shop.frame("users")) == 2 and joins(shop.frame("orders")) == 2
+    assert sorted((r["id"], r["name"], r["role"]) for r in shop.frame("users").collect()) == [(1, "A", "a"), (2, "Bobby", "b"), (3, "Cara", "c")]
+
+
+def test_relation_changes(shop):
+    s = Session(shop)
+    s.attach(USERS, "projects", 3, [1, 2])
+    s.detach(USERS, "projects", 1, [1])
+    s.attach(USERS, "orders", 3, [5])
+    s.detach(USERS, "orders", 2, [4])
+    s.flush()
+    assert sorted((r["user_id"], r["project_id"]) for r in shop.frame("assignments").collect()) == [(1, 2), (2, 2), (3, 1), (3, 2)]
+    assert sorted((r["id"], r["user_id"]) for r in shop.frame("orders").collect()) == [(1, 1), (2, 1), (3, 1), (5, 3)]  # orders go with their user
+    s.clear(USERS, "projects", 3)
+    s.attach(USERS, "projects", 3, [2])
+    s.sync(USERS, "projects", 1, [1])
+    s.flush()
+    assert sorted((r["user_id"], r["project_id"]) for r in shop.frame("assignments").collect()) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_upserts_read_the_table_once(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "id int, name string, n int")
+    new = spark.createDataFrame([(2, "x"), (3, "y"), (3, "z"), (None, "m"), (None, "m")], "id int, name string")
+    for out in (dml.bulk_upsert(old, new, ["id"]), dml.upsert(old, new.where("id = 2"), ["id"], {"n": F.col("n") + 10})):
+        assert joins(out) == 1
+    assert sorted(map(tuple, dml.bulk_upsert(old, new, ["id"]).collect()), key=repr) == sorted([(1, "a", 1), (2, "x", 2), (3, "y", None), (None, "n", 3), (None, "m", None), (None, "m", None)], key=repr)
+    after, touched = dml.upsert_returning(old, new.where("id = 2 OR name = 'y'"), ["id"], {"n": F.col("n") + 10}, F.col("n") > 1)
+    assert sorted(map(tuple, touched.collect())) == [(2, "b", 12), (3, "y", None)] and after.count() == 4
+
+
+def test_validation_finds_every_crossing_node(spark):
+    import random
+
+    rng = random.Random(3)
+    for n in (5, 12, 30):
+        rows = []
+        for i in range(n):
+            a, b = sorted(rng.sample(range(1, 3 * n), 2))
+            rows.append((i, a, b, i % 2))
+        want = {i for i, a, b, s in rows for j, c, d, t in rows if s == t and i != j and (a < c < b < d or c < a < d < b)}
+        df = spark.createDataFrame(rows, "id int, lft int, rght int, s int").withColumn("parentId", F.lit(None).cast("int"))
+        tree_module.BIN, before = 4, tree_module.BIN
+        try:
+            got = {r["id"] for r in Tree(scope=("s",)).validate(df).where("problem = 'crosses another node'").collect()}
+        finally:
+            tree_module.BIN = before
+        assert got == want
+
+
+def test_declared_trees(spark):
+    @Tree().entity
+    @dataclasses.dataclass
+    class Category:
+        id: int
+        parentId: int
+        lft: int
+        rght: int
+
+    t = entity_table(Category)
+    assert t.tree == Tree() and t.relation("children").kind == "has_many" and t.relation("parent").foreign_key == "parentId"
+    c = Catalog(spark).rows(t, [{"id": 1, "lft": 1, "rght": 4}, {"id": 2, "parentId": 1, "lft": 2, "rght": 3}])
+    assert [r["id"] for r in select_from(c, t).include("children").order_by("category.id").rows()[0]["children"]] == [2]
+    with pytest.raises(ValueError):
+        Tree(depth="depth").declare(t)
+
+
+def test_databases_are_written_and_described(spark):
+    from tessella.sources import catalog as sources
+
+    url = "jdbc:derby:memory:shop;create=true"
+    frame = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
+    sources.write_jdbc(frame, url, "items", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    sources.write_jdbc(frame, url, "items", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    back = sources.read_jdbc(spark, url, "items", "id", (1, 3), 2, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert sorted((r[0], r[1] or "") for r in back.collect()) == [(1, "a"), (1, "a"), (2, ""), (2, "")]
+    kinds = "TABLE_NAME string, COLUMN_NAME string, DATA_TYPE string, IS_NULLABLE string, ORDINAL_POSITION int"
+    columns = spark.createDataFrame([("users", "id", "integer", "NO", 1), ("users", "mail", "character varying(20)", "YES", 2), ("orders", "id", "bigint", "NO", 1), ("orders", "user_id", "integer", "YES", 2)], kinds)
+    usage = spark.createDataFrame([("pk_u", "users", "id", 1), ("uq_u", "users", "mail", 1), ("pk_o", "orders", "id", 1), ("fk_o", "orders", "user_id", 1)], "constraint_name string, table_name string, column_name string, ordinal_position int")
+    constraints = spark.createDataFrame([("pk_u", "PRIMARY KEY"), ("uq_u", "UNIQUE"), ("pk_o", "PRIMARY KEY"), ("fk_o", "FOREIGN KEY")], "constraint_name string, constraint_type string")
+    found = sources.introspect_information_schema(columns, usage, constraints, spark.createDataFrame([("fk_o", "pk_u")], "constraint_name string, unique_constraint_name string"))
+    assert found["users"].key == "id" and found["users"].columns["mail"].unique and found["orders"].columns["user_id"].references == ("users", "id") and found["orders"].columns["id"].type == "BIGINT"
+    declared = table("t", {"id": KEY, "u": column("INT", references=("users", "id"), default=4, comment="owner", check="u > 0")})
+    assert sources.introspect("t", spark.createDataFrame([], declared.struct())).columns["u"] == dataclasses.replace(declared.columns["u"])
+    spark.range(3).createOrReplaceTempView("a_view")
+    assert "a_view" in sources.introspect_database(spark).views
+
+
+def test_sources_and_schemas_of_tables():
+    from tessella.schema import Relation
+
+    said = changes.table_source(USERS)
+    assert eval(said, {"table": table, "column": column, "Relation": Relation}) == USERS
+    item = table("item", {"id": column("INT", primary=True, autoincrement=True), "name": column("TEXT", nullable=False), "kind": column("TEXT", nullable=False, default="x")})
+    assert openapi.create_schema(item)["required"] == ["name"] and "id" not in openapi.create_schema(item)["properties"]
+    assert openapi.update_schema(item)["required"] == [] and list(openapi.update_schema(item)["properties"]) == ["name", "kind"]
+    nested = openapi.nested_schema(USERS, {"orders": ORDERS, "profiles": PROFILES}, {"orders": {}, "profile": {}})["properties"]
+    assert nested["orders"]["items"]["properties"]["total"]["type"] == "integer" and nested["profile"]["nullable"]
+    fields = openapi.filter_schema(table("t", {"a": "INT", "b": "BOOLEAN", "c": "TEXT"}))["properties"]
+    assert [("lt" in fields[n]["properties"], "contains" in fields[n]["properties"]) for n in "abc"] == [(True, False), (False, False), (False, True)]
+
+
+def test_cursors_hold_dates(spark):
+    import datetime
+    import decimal
+
+    orders = (asc(col("t.a")), desc(col("t.b")))
+    values = [datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 2, 3, 4), decimal.Decimal("1.50"), "x", 5]
+    assert decode_cursor(encode_cursor(values, orders), orders) == values
+    for bad in ("", "nonsense!", encode_cursor(values, orders)[3:]):
+        with pytest.raises(ValueError):
+            decode_cursor(bad, orders)
