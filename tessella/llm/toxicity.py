@@ -6,7 +6,8 @@ would pass for independent witnesses, are one: texts with equal values of ``SIGN
 five-word shingles count once, as toxic if one of them is. Units are words in lower case and their beginnings of
 ``PREFIX`` letters; a unit that a text has n times gives the terms (unit, 1) to (unit, n), up to ``LEVELS``. All terms
 of ``LEAST`` or more examples make up the vocabulary. A term's weight is its idf times its log-likelihood ratio
-against the label, so terms that tell nothing weigh little; a text's vector has the weights of its terms, at length 1.
+against the label, less the 1 that chance gives on average; so terms that tell nothing weigh little or nothing, at
+every size of the sample. A text's vector has the weights of its terms, at length 1.
 
 Scoring. Examples lie in blocks of ``BLOCK``, alike ones (by their heaviest term) next to one another; the index holds
 for each term its examples and weights, block by block, and its largest weight in each block. The blocks with the
@@ -25,6 +26,7 @@ labels don't count; further columns are ignored or passed on.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import narrow, positional, rows_of, spread, stored, text_slices, words_of
+from tessella.llm.common import narrow, positional, rows_of, spread, stored, text_slices, words_of, worker_memory
 
 EXAMPLES = 4096
 #: Examples that must have a term.
@@ -55,7 +57,7 @@ SIGNATURE = 4
 PREFIX = 5
 LEVELS = 3
 #: Words whose units a worker remembers.
-CACHE = 500_000
+CACHE = 100_000
 #: What parts words.
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -65,7 +67,7 @@ def units_of(word: str) -> tuple[str, ...]:
 
 
 def term_weights(examples: list[np.ndarray], toxic: np.ndarray, terms: int) -> np.ndarray:
-    """idf times the log-likelihood ratio of each term."""
+    """idf times the log-likelihood ratio of each term, as far as that is above what chance gives."""
     of = np.repeat(toxic, list(map(len, examples)))
     flat = np.concatenate(examples) if examples else np.zeros(0, np.int64)
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()], np.float64)
@@ -76,7 +78,7 @@ def term_weights(examples: list[np.ndarray], toxic: np.ndarray, terms: int) -> n
         for have, share in ((seen[k], both), (n[k] - seen[k], total - both)):
             there = have > 0
             ratio[there] += 2 * have[there] * np.log(have[there] * total / (n[k] * share[there]))
-    return (np.log((1 + total) / (1 + both)) + 1) * np.maximum(ratio, 0)
+    return (np.log((1 + total) / (1 + both)) + 1) * np.maximum(ratio - 1, 0)
 
 
 @dataclass
@@ -92,7 +94,7 @@ class Model:
     prior: float
     slope: float = 1.0
     shift: float = 0.0
-    units: dict[str, np.ndarray] = field(default_factory=dict)  #: a worker's memory: the units of words, as numbers
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)  #: tells models apart in a worker
 
     def vector(self, terms: np.ndarray) -> np.ndarray:
         """Weights at length 1 of ascending terms."""
@@ -112,6 +114,7 @@ class Model:
 
     def neighbours(self, terms: np.ndarray) -> list[tuple[float, int]]:
         """The best (cosine, example) with a cosine over 0, best first; ties in ascending order of the example. terms: ascending."""
+        terms = terms[self.weight[terms] > 0]
         if not len(terms) or not len(self.ids):
             return []
         weights = self.vector(terms)
@@ -142,16 +145,16 @@ class Model:
         found, times = np.unique(units, return_counts=True)
         return spread(found // (LEVELS + 1), np.minimum(times, found % (LEVELS + 1)))
 
-    def terms_of(self, texts: pa.Array) -> list[np.ndarray]:
-        """The terms of each text."""
+    def terms_of(self, texts: pa.Array, memory: dict[str, np.ndarray]) -> list[np.ndarray]:
+        """The terms of each text. memory: the units of words met before, as numbers."""
         codes, words, ends = words_of(pc.utf8_lower(pc.fill_null(texts, "")), NOT_WORD)
-        if len(self.units) > CACHE:
-            self.units.clear()
-        get, own = self.units.get, []
+        if len(memory) > CACHE:
+            memory.clear()
+        get, own = memory.get, []
         for w in words:
             units = get(w)
             if units is None:
-                units = self.units[w] = np.array([first * (LEVELS + 1) + n for u in units_of(w) if (x := self.vocabulary.get(u)) for first, n in (x,)], np.int64)
+                units = memory[w] = np.array([first * (LEVELS + 1) + n for u in units_of(w) if (x := self.vocabulary.get(u)) for first, n in (x,)], np.int64)
             own.append(units)
         sizes = np.fromiter(map(len, own), np.int64, len(own))
         flat = np.concatenate([np.zeros(0, np.int64), *own])
@@ -228,7 +231,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def fitted(vocabulary: dict[str, tuple[int, int]], terms: int, ids: np.ndarray, toxic: np.ndarray, examples: list[np.ndarray]) -> Model:
     """The model of examples, calibrated on votes of models that the example had no part in."""
-    model = indexed(vocabulary, terms, ids, toxic, examples)
+    weight = term_weights(examples, toxic, terms)
+    # units without any weight go, so that what is sent to the tasks is small
+    kept: dict[str, tuple[int, int]] = {}
+    new, n_kept = np.full(terms, -1, np.int64), 0
+    for unit, (first, n) in vocabulary.items():
+        if (weight[first : first + n] > 0).any():
+            kept[unit] = n_kept, n
+            new[first : first + n] = np.arange(n_kept, n_kept + n)
+            n_kept += n
+    model = indexed(kept, n_kept, ids, toxic, [np.sort(new[x][new[x] >= 0]) for x in examples])
     if len(np.unique(toxic)) < 2:
         model.shift = -math.inf
         return model
@@ -256,6 +268,7 @@ def fitted(vocabulary: dict[str, tuple[int, int]], terms: int, ids: np.ndarray,
 def indexed(vocabulary: dict[str, tuple[int, int]], terms: int, ids: np.ndarray, toxic: np.ndarray, examples: list[np.ndarray]) -> Model:
     """The block-max index of examples (ascending terms of each), not calibrated."""
     weight = term_weights(examples, toxic, terms)
+    examples = [x[weight[x] > 0] for x in examples]
     vectors = []
     for x in examples:
         w = weight[x]
@@ -283,10 +296,10 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(evidence, T.ArrayType(T.LongType()))])
 
     def run(batches):
-        m = sent.value
+        m, memory = sent.value, worker_memory(("units", sent.value.name), dict)
         for batch in text_slices(batches, at):
             scores, why = [], []
-            for terms in m.terms_of(batch.column(at)):
+            for terms in m.terms_of(batch.column(at), memory):
                 near = m.neighbours(terms)
                 scores.append(0.0 if m.shift == -math.inf else m.score(near))
                 why.append([int(m.ids[x]) for _, x in near[:EVIDENCE]])
