@@ -8,7 +8,7 @@ piece of n bytes takes n log n steps, however long.
 
 Pieces of up to ``MANY`` bytes are merged together, with their segment trees as rows of one array; longer ones by
 themselves, in a tree of ``FAN`` children a node. A worker keeps one codec, with the ids of what it met lately, about
-``2 * CACHE`` entries at most. With the patterns of ``PARTED`` texts are cut at blanks by Arrow, and each distinct part is
+``2 * (CACHE + PIECES)`` entries at most. With the patterns of ``PARTED`` texts are cut at blanks by Arrow, and each distinct part is
 looked up once; with any other pattern whole texts are split. Nothing is shuffled.
 
 Defined results: null text counts as empty: no ids, decoded to nothing; a row gives a row; null ids of documents
@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,10 +28,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import narrow, rows_of, split_texts, spread, text_slices, without_collector
+from tessella.llm.common import narrow, rows_of, split_texts, spread, text_slices, without_collector, worker_memory
 
-#: Entries of a generation of a worker's memory.
-CACHE = 300_000
+#: Entries of a generation of a worker's memory: parts of texts, and pieces.
+CACHE, PIECES = 150_000, 75_000
 #: Characters of the longest piece that is remembered.
 LONGEST = 48
 #: Bytes of the longest piece that is merged together with others.
@@ -46,7 +45,6 @@ _UNIT = re.compile(r" (?=\S)")
 PARTED = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
 
 
-@lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -226,7 +224,7 @@ class Codec:
         self.pairs = Pairs(self.ranks)
         self.find = regex.compile(pattern).findall
         self.parted = pattern in PARTED
-        self.pieces, self.units = Recent(), Recent()
+        self.pieces, self.units = Recent(PIECES), Recent(CACHE)
 
     def _learn_pieces(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """The ids of pieces that the young generation lacks."""
@@ -311,10 +309,9 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
 def codec_of(path: str, pattern: str) -> Codec:
     """A worker's codec: what it has met in one task serves the next."""
-    return Codec(path, pattern)
+    return worker_memory(("bytes", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,18 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     ]
 
 
+_KEPT: dict = {}
+
+
+def worker_memory(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time. A stage that asks for another lets the last go,
+    so that the memories of stages that follow one another in one worker don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 @contextmanager
 def without_collector() -> Iterator[None]:
     """Python's cycle collector off for a while: it walks large memories of strings again and again, and finds nothing
@@ -89,7 +102,7 @@ def rows_of(batches: Iterator, step: int = 256) -> Iterator[list[list]]:
 
 
 #: Bytes of text that are handled at once, where a text isn't longer by itself.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def text_slices(batches: Iterator, column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:

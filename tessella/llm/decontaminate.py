@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import narrow, positional, row_key, stored, text_slices, words_of
+from tessella.llm.common import narrow, positional, row_key, stored, text_slices, words_of, worker_memory
 
 WINDOW = 13
 SUBSTITUTIONS = 2
 #: log2 of the bits of the table that windows pass first, about 64 for each hash of the items: 2 to 16 MB.
 FILTER_BITS = (24, 27)
 #: Words whose hash a worker remembers.
-CACHE = 400_000
+CACHE = 300_000
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 _MIX = 0x9E3779B97F4A7C15
 
@@ -102,7 +102,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     """item_id, whole (a hash of all its words), size (words of the window), h, words (the window's word hashes). items: item_id, text."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = worker_memory(("hashes",), WordHashes)
         for batch in text_slices(batches, 1):
             out = {"item_id": [], "whole": [], "size": [], "h": [], "words": []}
             every, ends = tokens(batch.column(1), hashes)
@@ -148,7 +148,7 @@ def overlaps(docs: DataFrame, windows: DataFrame) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("__k1", pa.int64()), ("__k2", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("own", pa.list_(pa.int64()))])
 
     def run(batches):
-        hashes, bits = WordHashes(), table.value
+        hashes, bits = worker_memory(("hashes",), WordHashes), table.value
         for batch in text_slices(batches, 3):
             t, ends = tokens(batch.column(3), hashes)
             begins = np.concatenate([[0], ends[:-1]])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import narrow, positional, row_key, rows_of, stored
+from tessella.llm.common import narrow, positional, row_key, rows_of, stored, worker_memory
 from tessella.llm.decontaminate import WordHashes
 from tessella.llm.simhash_dedup import components, fingerprint
 
@@ -78,7 +78,7 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
     """doc_id, __k1, __k2, node: [shingles, hash of the set, fingerprint, signature...]."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = worker_memory(("hashes",), WordHashes)
         for ids, k1, k2, texts in rows_of(batches, 128):
             nodes = []
             for t in texts:
@@ -158,7 +158,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(wanted, ["__k1", "__k2"]).select("id", "text")
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = worker_memory(("hashes",), WordHashes)
         for ids, words in rows_of(batches, 128):
             sets = [shingle_hashes(t, hashes).view(np.int64) for t in words]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])

@@ -26,7 +26,6 @@ import os
 import re
 import struct
 import zlib
-from functools import lru_cache
 from itertools import pairwise
 from typing import BinaryIO
 
@@ -38,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import narrow, rows_of, shared_path, split_texts, spread, stored, text_slices, without_collector
+from tessella.llm.common import narrow, rows_of, shared_path, split_texts, spread, stored, text_slices, without_collector, worker_memory
 
 MAGIC = b"TPK2"
 HEAD = struct.Struct("<4sIQ")
@@ -50,7 +49,7 @@ SHARD_BYTES = 24 << 20
 #: Ids that are read at once; shards whose ids are summed by one task.
 READ, SHARDS = 1 << 20, 4096
 #: Parts of texts whose ids a worker remembers, in each of two generations.
-CACHE = 400_000
+CACHE = 300_000
 #: Characters of the longest part that is remembered.
 LONGEST = 64
 END_ID = 2
@@ -232,10 +231,9 @@ class Encoder:
         return np.diff(upto, prepend=0), flat[spread((np.cumsum(sizes) - sizes)[codes], each)]
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """A worker's encoder: what it has met in one task serves the next."""
-    return Encoder(path)
+    return worker_memory(("words", path), lambda: Encoder(path))
 
 
 def _shard_count(docs: DataFrame) -> int:

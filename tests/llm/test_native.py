@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from tessella.llm import chat_format, license_scan, line_dedup
+from tessella.llm import chat_format, common, license_scan, line_dedup
 
 DOCS = "doc_id long, text string, lang string, TEXT2 string"
 
@@ -183,9 +183,21 @@ def test_one_line_notices_are_whole_lines(spark):
     assert [r["licenses"] for r in sorted(rows)] == ["", "CC-BY-4.0:notice", ""]
 
 
-def test_native_plans_have_no_python(spark):
+def test_native_plans_have_no_python(spark, monkeypatch):
+    """Neither the last plan nor any whose rows are stored on the way."""
+    seen = []
+
+    def watched(df, kind):
+        seen.append(df)
+        return common.stored(df, kind)
+
+    for module in (chat_format, line_dedup):
+        monkeypatch.setattr(module, "stored", watched)
     df = spark.createDataFrame([(1, "a\nb\nc\nd", "x", "y")], DOCS)
-    for out in (line_dedup.line_report(df), license_scan.scan_licenses(df)):
+    chat = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    seen += [line_dedup.line_report(df), line_dedup.dedup_lines(df), license_scan.scan_licenses(df), chat_format.format_chats(chat)]
+    assert len(seen) == 8
+    for out in seen:
         plan = out._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
 
