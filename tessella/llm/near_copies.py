@@ -13,12 +13,17 @@ dealt out by the pair, so no class, however large, meets in one task. In a pair
 population count and compared in tiles by numpy exclusive-or and bit counts; pairs of tiles whose counts differ
 beyond the radius are skipped.
 
-Pairs are compared in two passes, so that groups of many copies don't bring all their pairs to the exact comparison:
-the first takes for each node of a pair of tiles one likely partner; the second takes all pairs that pass the
-prefilter and whose nodes the verified links of the first don't connect yet.
+What passes the prefilter is not listed pair by pair: a pair of groups gives a spanning forest of its candidates, and the
+components of all forests are clusters, outside of which no pair passes. The distinct shingles of a cluster's nodes then
+meet in blocks of about ``BLOCK`` hashes, in which every pair is decided exactly: a few pivots are compared with all
+others, and of what they leave in several classes, the shingles in common are counted tile by tile, frequent ones in
+bit maps, rare ones by their lists. A block gives a spanning forest too. Pairs within a cluster count even where they
+don't pass the prefilter themselves. A cluster of more than one block is taken in two rounds: each block by itself,
+beside some pivots of the cluster; then, of what several classes are left, the blocks of all smaller classes with one
+another and with those of the largest. So no step makes a row for each pair, and no link is lost.
 
 The comparisons still grow with the square of a class's nodes, and what is shuffled with that square divided by
-``GROUP``. Defined results: texts without words are copies of
+``GROUP`` (in the second round, by the nodes in a block, for the part that the first leaves apart). Defined results: texts without words are copies of
 one another; null text counts as empty; of each component the row with the smallest (doc_id, row key) stays, nulls
 last; rows that repeat doc_id and text are one document, of which one row stays.
 """
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +40,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import narrow, positional, row_key, rows_of, stored, worker_memory
+from tessella.llm.common import narrow, positional, row_key, rows_of, spread, stored, worker_memory
 from tessella.llm.decontaminate import WordHashes
-from tessella.llm.simhash_dedup import components, fingerprint
+from tessella.llm.simhash_dedup import components, fingerprint, spanning_forest
 
 RADIUS = 20
 SIMILAR = 0.8
 SHINGLE = 5
 SIGNATURE = 64
-#: Values of the signature that a pair to be verified has in common at least, and that a likely pair has.
-LOOSE, LIKELY = 32, 50
+#: Values of the signature that a candidate pair has in common at least.
+LOOSE = 32
 GROUP = 131_072
 TILE = 1024
+#: Hashes of shingles in a block of a cluster, and nodes of a cluster that meet each of its blocks.
+BLOCK, PIVOTS = 1 << 20, 4
+#: Nodes of a block that are compared with all others before tiles are; nodes in such a tile.
+TURNS, EXACT_TILE = 32, 256
+#: Nodes that have a shingle, up to which it is rare; pairs that are listed at once for rare shingles.
+RARE, LISTED = 8, 1 << 21
 _LONGS = SIGNATURE // 8
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
 
@@ -90,36 +102,48 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text").mapInArrow(run, "doc_id long, __k1 long, __k2 long, node array<long>")
 
 
-def candidate_pairs(a: np.ndarray, b: np.ndarray, common: int, all_pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids, tile by tile, of the rows [id, label, n, set, fp, signature...] of a and b that have other labels, near
-    fingerprints and ``common`` signature values in common: all such pairs, or one for each row of a tile that has any."""
-    a, b = (x[np.argsort(np.bitwise_count(x[:, 4].view(np.uint64)), kind="stable")] for x in (a.copy(), b.copy()))
-    fa, fb = (np.ascontiguousarray(x[:, 4]).view(np.uint64) for x in (a, b))
+def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (the least place in each class) after links between places x and y."""
+    own = np.arange(len(label))
+    if forest := spanning_forest(label[x], label[y], len(label)):
+        at, low = np.array(forest).T
+        own[at] = low
+    return own[label]
+
+
+def candidate_forest(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids, tile by tile, that span the components of all pairs of rows [id, n, set, fp, signature...] of a and b that have
+    near fingerprints and LOOSE signature values in common."""
+    same = len(a) == len(b) and np.array_equal(a[:, 0], b[:, 0])
+    a, b = (x[np.argsort(np.bitwise_count(x[:, 3].view(np.uint64)), kind="stable")] for x in (a.copy(), b.copy()))
+    fa, fb = (np.ascontiguousarray(x[:, 3]).view(np.uint64) for x in (a, b))
     ca, cb = np.bitwise_count(fa).astype(int), np.bitwise_count(fb).astype(int)
-    sa, sb = (np.ascontiguousarray(x[:, 5:]).view(np.uint8).reshape(len(x), -1) for x in (a, b))
+    sa, sb = (np.ascontiguousarray(x[:, 4:]).view(np.uint8).reshape(len(x), -1) for x in (a, b))
     for i in range(0, len(a), TILE):
         p = slice(i, i + TILE)
-        for j in range(0, len(b), TILE):
+        for j in range(i if same else 0, len(b), TILE):
             q = slice(j, j + TILE)
             if ca[p][0] > cb[q][-1] + RADIUS or cb[q][0] > ca[p][-1] + RADIUS:
                 continue
             x, y = np.nonzero(np.bitwise_count(fa[p][:, None] ^ fb[q][None, :]) <= RADIUS)
-            other = a[i + x, 1] != b[j + y, 1]
-            x, y = x[other], y[other]
-            keep = np.zeros(len(x), bool)
+            ids = np.concatenate([a[p, 0], b[q, 0]])
+            # a row that is on both sides is one class from the start
+            _, place, inverse = np.unique(ids, return_index=True, return_inverse=True)
+            first = label = place[inverse]
+            y = y + len(fa[p])
             for at in range(0, len(x), 65536):
-                s = slice(at, at + 65536)
-                keep[s] = (sa[i + x[s]] == sb[j + y[s]]).sum(axis=1) >= common
-            x, y = x[keep], y[keep]
-            if not all_pairs:
-                first = np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
-                x, y = x[first], y[first]
-            if len(x):
-                yield a[i + x, 0], b[j + y, 0]
-
-
-def _candidates(nodes: DataFrame, common: int, all_pairs: bool) -> DataFrame:
-    """Distinct pairs a < b of ids of nodes that pass the prefilter. nodes: id, label, node."""
+                s, t = x[at : at + 65536], y[at : at + 65536]
+                apart = label[s] != label[t]
+                s, t = s[apart], t[apart]
+                common = (sa[i + s] == sb[j + t - len(fa[p])]).sum(axis=1) >= LOOSE
+                label = joined(label, s[common], t[common])
+            at = np.nonzero(label != first)[0]
+            if len(at):
+                yield ids[at], ids[label[at]]
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of ids that span the components of all pairs that pass the prefilter. nodes: id, node."""
     size = F.when(F.element_at("node", 1) > 0, F.floor(F.log(F.element_at("node", 1).cast("double")) / math.log(1 / SIMILAR) + 1e-9)).otherwise(-2)
     placed = nodes.withColumn("class", size.cast("int"))
     groups = stored(placed.groupBy("class").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), "classes")
@@ -127,7 +151,7 @@ def _candidates(nodes: DataFrame, common: int, all_pairs: bool) -> DataFrame:
     count = {r["class"]: r["groups"] for r in groups.collect()}
     of = F.create_map(*[F.lit(x) for k, g in count.items() for x in (k, g)]) if count else F.create_map(F.lit(0), F.lit(1))
     dealt = placed.withColumn("g", F.pmod(F.xxhash64("id"), F.element_at(of, F.col("class"))).cast("int"))
-    packed = stored(dealt.groupBy("class", "g").agg(F.flatten(F.collect_list(F.concat(F.array("id", "label"), "node"))).alias("rows")), "groups")
+    packed = stored(dealt.groupBy("class", "g").agg(F.flatten(F.collect_list(F.concat(F.array("id"), "node"))).alias("rows")), "groups")
     own, after = F.element_at(of, F.col("class")), F.coalesce(F.try_element_at(of, F.col("class") + 1), F.lit(0))
     before = F.coalesce(F.try_element_at(of, F.col("class") - 1), F.lit(0))
     upto = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
@@ -139,43 +163,174 @@ def _candidates(nodes: DataFrame, common: int, all_pairs: bool) -> DataFrame:
     left = packed.select(F.explode(first).alias("k"), "rows").select(*[f"k.{x}" for x in key], F.col("rows").alias("r1"))
     right = packed.select(F.explode(second).alias("k"), "rows").select(*[f"k.{x}" for x in key], F.col("rows").alias("r2"))
     both = left.join(right, key).select("r1", "r2")
-    width = 5 + _LONGS
+    width = 4 + _LONGS
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 x, y = (c[i].values.to_numpy(zero_copy_only=False).reshape(-1, width) for c in batch.columns)
-                for p, q in candidate_pairs(x, y, common, all_pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                for p, q in candidate_forest(x, y):
+                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
-    return stored(both.mapInArrow(run, "a long, b long").distinct(), "candidates")
+
+def _rare_in_common(p: np.ndarray, m: int, row: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each of the rows p and each of all m rows, how many codes they share. row, codes: rows and their codes, by code."""
+    starts = np.nonzero(np.diff(codes, prepend=-1))[0]
+    sizes = np.diff(starts, append=len(codes))
+    place = np.full(m, -1)
+    place[p] = np.arange(len(p))
+    mine = np.nonzero(place[row] >= 0)[0]
+    run = np.searchsorted(starts, mine, "right") - 1
+    both = np.zeros(len(p) * m, np.int64)
+    ends = np.cumsum(sizes[run])
+    at = 0
+    while at < len(mine):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LISTED, "right")))
+        others = row[spread(starts[run[at:stop]], sizes[run[at:stop]])]
+        both += np.bincount(np.repeat(place[row[mine[at:stop]]], sizes[run[at:stop]]) * m + others, minlength=len(both))
+        at = stop
+    return both.reshape(len(p), m)
+
+
+def similar_classes(flat: np.ndarray, n: np.ndarray, left: int, label: np.ndarray) -> np.ndarray:
+    """``label`` (the least place in each class) joined by the similar pairs among sets of distinct hashes: of all pairs
+    where ``left`` is their number, else at least of the first ``left`` sets with the others. flat: the sets one after
+    another; n: their sizes."""
+    m = len(n)
+    row = np.repeat(np.arange(m), n)
+    codes = np.unique(flat, return_inverse=True)[1]
+    shared = np.bincount(codes) > 1  # what one set has alone isn't in common with any
+    kept = shared[codes]
+    row, codes = row[kept], (np.cumsum(shared) - 1)[codes[kept]]
+    count, starts = np.bincount(codes), np.searchsorted(row, np.arange(m + 1))
+    todo = np.ones(m, bool)
+    for turn in range(TURNS + 1):
+        undone = np.nonzero(todo)[0]
+        names, first, sizes = np.unique(label[undone], return_index=True, return_counts=True)
+        if len(names) < 2:  # pairs of different classes have been compared, all of them
+            return label
+        if turn == TURNS:
+            break
+        p = undone[first[sizes.argmin()]]
+        todo[p] = False
+        has = np.zeros(len(count), bool)
+        has[codes[starts[p] : starts[p + 1]]] = True
+        both = np.bincount(row[has[codes]], minlength=m)
+        # both / (one + other - both) >= 4 / 5
+        near = np.nonzero(both * 9 >= (n + n[p]) * 4)[0]
+        label = joined(label, near, np.full(len(near), p))
+    often = count > RARE + m // 64
+    width = -(-int(often.sum()) // 64) * 64
+    place, frequent = np.cumsum(often) - 1, often[codes]
+    bits = np.zeros((width // 64, m), np.uint64)
+    for at in range(0, m, EXACT_TILE):
+        s = slice(*starts[[at, min(m, at + EXACT_TILE)]])
+        each = np.zeros((min(m, at + EXACT_TILE) - at, width), bool)
+        each[row[s][frequent[s]] - at, place[codes[s][frequent[s]]]] = True
+        bits[:, at : at + EXACT_TILE] = np.packbits(each, axis=1).view(np.uint64).T
+    by_code = np.nonzero(~frequent)[0]
+    by_code = by_code[np.argsort(codes[by_code], kind="stable")]
+    rare = row[by_code], codes[by_code]
+    undone = undone[np.argsort(n[undone], kind="stable")]
+    one, other = (undone, undone) if left == m else (undone[undone < left], undone[undone >= left])
+    for i in range(0, len(one), EXACT_TILE):
+        p, few = one[i : i + EXACT_TILE], None
+        for j in range(i if left == m else 0, len(other), EXACT_TILE):
+            q = other[j : j + EXACT_TILE]
+            # the smaller has four fifths of the larger's shingles at least
+            if n[p[-1]] * 5 < n[q[0]] * 4 or n[q[-1]] * 5 < n[p[0]] * 4 or (label[p] == label[p[0]]).all() and (label[q] == label[p[0]]).all():
+                continue
+            few = _rare_in_common(p, m, *rare) if few is None else few
+            both = few[:, q]
+            for x in bits:
+                u, v = x[p], x[q]
+                if u.any() and v.any():
+                    both += np.bitwise_count(u[:, None] & v[None, :])
+            s, t = np.nonzero(both * 9 >= (n[p][:, None] + n[q][None, :]) * 4)
+            label = joined(label, p[s], q[t])
+    return label
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are similar, computed from the shingles of their texts. nodes: id, place; docs: doc_id, text."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = stored(nodes.select("id", "place.__k1", "place.__k2").join(ends, "id", "left_semi"), "wanted")
-    texts = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(wanted, ["__k1", "__k2"]).select("id", "text")
+def _shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, cluster, shingles. members: id, cluster, __k1, __k2; docs: doc_id, text."""
+    texts = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text").join(members, ["__k1", "__k2"]).select("id", "cluster", "text")
 
     def run(batches):
         hashes = worker_memory(("hashes",), WordHashes)
-        for ids, words in rows_of(batches, 128):
+        for ids, clusters, words in rows_of(batches, 128):
             sets = [shingle_hashes(t, hashes).view(np.int64) for t in words]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(clusters, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "cluster", "shingles"])
+
+    return texts.mapInArrow(run, "id long, cluster long, shingles array<long>").dropDuplicates(["id"])
+
+
+def _block_forest(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that, with the links that made the labels, span the classes of a block. block: other, id, label, shingles, others last."""
+    block = block.combine_chunks()
+    sets, ids = block["shingles"].combine_chunks(), block["id"].to_numpy()
+    flat, n = sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    _, first, inverse = np.unique(block["label"].to_numpy(), return_index=True, return_inverse=True)
+    others = int(np.sum(block["other"].to_numpy()))
+    before = first[inverse]
+    label = similar_classes(flat, n, len(n) - others, before)
+    at = np.nonzero((before == np.arange(len(n))) & (label != before))[0]
+    return ids[at], ids[label[at]]
+
+
+def _similar(rows: DataFrame) -> DataFrame:
+    """Links a, b that span, beside those that made the labels, the components of the similar pairs in each block:
+    between rows that are ``other`` and such that aren't, or of all rows where none is. rows: cluster, i, j (these name a
+    block), other, id, label, shingles."""
+    dealt = rows.select("cluster", "i", "j", "other", "id", "label", "shingles").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "other")
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = np.array([batch.column(k).to_numpy() for k in range(3)], np.int64)
+            cuts = [*np.nonzero(np.diff(keys, prepend=keys[:, :1] - 1).any(axis=0))[0].tolist(), batch.num_rows]
+            found = []
+            for a, b in pairwise(cuts):
+                if held and tuple(keys[:, a]) != key:
+                    found.append(_block_forest(pa.Table.from_batches(held)))
+                    held = []
+                key = tuple(keys[:, a])
+                held.append(batch.slice(a, b - a))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _block_forest(pa.Table.from_batches(held))], names=["a", "b"])
 
-    sets = stored(texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    # both / (one + other - both) >= 4 / 5
-    return stored(pairs.join(left, "a").join(right, "b").where(both * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b"), "similar")
+    return stored(dealt.mapInArrow(run, "a long, b long"), "similar")
 
 
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links a, b between ids of nodes whose components are those of all similar pairs. nodes: id, node, place."""
-    likely = _similar(_candidates(nodes.select("id", F.col("id").alias("label"), "node"), LIKELY, False), nodes, docs)
-    label = components(likely)
-    named = nodes.join(label.select(F.col("node").alias("__id"), "label"), F.col("id") == F.col("__id"), "left").select("id", F.coalesce("label", "id").alias("label"), "node")
-    return likely.union(_similar(_candidates(stored(named, "named"), LOOSE, True), nodes, docs))
+    """Links a, b between ids of nodes whose components are those of all similar pairs of a cluster. nodes: id, node, place."""
+    clusters = components(_candidates(nodes)).select(F.col("node").alias("__id"), F.col("label").alias("cluster"))
+    members = nodes.join(clusters, F.col("id") == F.col("__id")).select("id", "cluster", F.element_at("node", 1).alias("n"), "place.__k1", "place.__k2")
+    members = stored(members, "members")
+    # clusters of several blocks are few: all of them have more than BLOCK hashes
+    pivots = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64(F.lit(k), "id")) for k in range(PIVOTS)]))
+    large = stored(members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), pivots.alias("pivots")).where("blocks > 1"), "large")
+    sets = _shingles(members.select("id", "cluster", "__k1", "__k2"), docs)
+    if large.isEmpty():
+        return _similar(sets.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("other"), F.col("id").alias("label")))
+    dealt = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id"), parts).cast("int")
+    sets = stored(sets, "shingles").join(F.broadcast(large), "cluster", "left").withColumn("i", dealt("first", F.coalesce("blocks", F.lit(1))))
+    inside = sets.select("cluster", "i", F.explode(F.when(F.array_contains("pivots", F.col("id")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("i"))).alias("at"), "id", "shingles")
+    first = _similar(inside.select("cluster", F.col("at").alias("i"), F.col("at").alias("j"), F.lit(False).alias("other"), "id", F.col("id").alias("label"), "shingles"))
+    label = components(first).select(F.col("node").alias("__id"), "label")
+    named = sets.where("blocks IS NOT NULL").join(label, F.col("id") == F.col("__id"), "left").select("cluster", "id", F.coalesce("label", "id").alias("label"), "shingles")
+    named = stored(named, "named")
+    classes = named.groupBy("cluster", "label").agg(F.sum(F.size("shingles")).alias("n")).groupBy("cluster")
+    largest = classes.agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = lambda x: F.greatest(F.ceil(x / BLOCK), F.lit(1)).cast("int")
+    largest = stored(largest.select("cluster", F.col("most.label").alias("largest"), blocks(F.col("n") - F.col("most.n")).alias("small"), blocks(F.col("most.n")).alias("large")), "largest")
+    placed = named.join(F.broadcast(largest), "cluster").withColumn("g", F.when(F.col("label") == F.col("largest"), F.col("small") + dealt("second", F.col("large"))).otherwise(dealt("second", F.col("small"))))
+    upto = F.when(F.col("g") < F.col("small"), F.col("small") + F.col("large")).otherwise(F.col("small"))
+    pairs = placed.withColumn("x", F.explode(F.sequence(F.lit(0), upto - 1))).withColumns({"i": F.least("g", "x"), "j": F.greatest("g", "x")})
+    return first.union(_similar(pairs.withColumn("other", (F.col("i") != F.col("j")) & (F.col("g") == F.col("j")))))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

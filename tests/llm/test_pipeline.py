@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
+import pytest
 from test_native import dedup
 from test_texts import REFERENCE
 from test_vectors_and_copies import overlapping
@@ -113,3 +115,64 @@ def test_near_copy_recall_against_all_pairs(spark):
     got = sorted(r["doc_id"] for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [i for i, _ in without_copies(rows)] and len(got) < 250
     assert public_tokenizers.PATTERN  # the pipeline's own pattern is there
+
+
+def similar_group(rng, n, size, changes):
+    """n texts of about ``size`` words, each of which differs from one base in ``changes`` words of its own."""
+    base = [rng.choice("abcdefgh") + str(rng.randint(0, 900)) for _ in range(size)]
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(size), changes(i)):
+            w[k] = f"own{i}x{k}"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 9000, 1500])
+def test_no_rows_for_pairs_of_a_large_group(spark, monkeypatch, block):
+    """A group whose texts are alike, but mostly below the bound: links are those of all pairs, and no step has a row for each pair."""
+    from tessella.llm import near_copies, simhash_dedup
+
+    rng = random.Random(23)
+    texts = [*similar_group(rng, 90, 120, lambda i: 3 + i % 3), *similar_group(rng, 60, 100, lambda i: i % 4), *similar_group(rng, 3, 80, lambda i: 1)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(near_copies, "BLOCK", block, raising=False)
+    monkeypatch.setattr(near_copies, "TURNS", 6, raising=False)
+    monkeypatch.setattr(near_copies, "EXACT_TILE", 16, raising=False)
+    counts = {}
+    for module in (near_copies, simhash_dedup):
+
+        def counted(df, kind, stored=module.stored):
+            out = stored(df, kind)
+            counts[kind] = max(counts.get(kind, 0), out.count())
+            return out
+
+        monkeypatch.setattr(module, "stored", counted)
+    got = sorted(r["doc_id"] for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [i for i, _ in without_copies(rows)] and 20 < len(got) < 120
+    # links both ways; some nodes in every block
+    assert max(counts.values()) <= 6 * len(rows), counts
+
+
+def test_similar_classes_are_those_of_all_pairs():
+    """Bit maps of frequent shingles, lists of rare ones and pivots give what plain sets give, of all pairs or across two sides."""
+    from tessella.llm import near_copies
+
+    rng = np.random.default_rng(24)
+    for case in range(60):
+        base = rng.integers(0, 1 << 60, 40 + 10 * (case % 5))
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: len(base) - rng.integers(0, 9)], rng.integers(0, 50 if case % 2 else 1 << 60, rng.integers(0, 9))])) for _ in range(5 + 3 * case)]
+        m = len(sets)
+        left = m if case % 3 else m // 3
+        plain = [frozenset(s.tolist()) for s in sets]
+        links = [(i, j) for i in range(m) for j in range(i) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]) and (left == m or (j < left <= i))]
+        least = near_copies.joined(np.arange(m), *np.array(links, np.int64).reshape(-1, 2).T)
+        more = [(i, j) for i in range(m) for j in range(i) if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])]
+        most = near_copies.joined(np.arange(m), *np.array(more, np.int64).reshape(-1, 2).T)
+        near_copies.TURNS, turns = case % 4, near_copies.TURNS
+        try:
+            got = near_copies.similar_classes(np.concatenate(sets), np.array(list(map(len, sets))), left, np.arange(m))
+        finally:
+            near_copies.TURNS = turns
+        # every link that is asked for is there, and none that isn't similar
+        assert (got[got] == got).all() and (got[least] == got).all() and (most[got] == most).all()
