@@ -46,6 +46,9 @@ TAIL = struct.Struct("<QQQQ4s")
 BLOCK = 4096
 #: Bytes of text that a shard aims at.
 SHARD_BYTES = 24 << 20
+#: Bytes of text whose distinct parts are looked up at once: more than other operators take, since parts that slices have
+#: in common are looked up in each of them.
+SLICE = 8 << 20
 #: Ids that are read at once; shards whose ids are summed by one task.
 READ, SHARDS = 1 << 20, 4096
 #: Parts of texts whose ids a worker remembers, in each of two generations.
@@ -197,7 +200,9 @@ class Encoder:
         found = {p: old[p] for p in parts if p in old} if old else {}
         words, other = {}, []
         for p in parts.difference(found) if found else parts:
-            if m := _WORD.fullmatch(p):
+            if p.isascii() and p.isalpha():
+                words[p] = p.lower(), ""
+            elif m := _WORD.fullmatch(p):
                 words[p] = m[1].lower(), m[2]
             else:
                 other.append(p)
@@ -258,7 +263,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
         name = f"{folder}/shard-{context.partitionId():07d}.tpk"
         own, writer = f"{name}.{context.taskAttemptId()}", None
         with without_collector():
-            for batch in text_slices(batches, 1):
+            for batch in text_slices(batches, 1, SLICE):
                 if writer is None:
                     system.create_dir(folder, recursive=True)
                     writer = ShardWriter(system.open_output_stream(own), bits)
