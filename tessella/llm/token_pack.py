@@ -12,8 +12,10 @@ so that a task that is run again after a loss replaces its file by the same. Fil
 shares, by Arrow's file systems (file, hdfs, s3, gs). A task holds a slice of texts, a block, and 17 bytes a document.
 
 Texts are encoded by the tokenizers library. Where the tokenizer's file drops white space and splits words from all
-else (as ``word_bpe_49k.json`` does), texts are cut at blanks and line ends by Arrow, and the library encodes each
-distinct part that a worker hasn't met lately; any other tokenizer gets whole texts.
+else (as ``word_bpe_49k.json`` does), Arrow cuts texts at blanks and line ends, and the distinct parts into pieces: a
+word in lower case, and the marks before and behind it. The library encodes each distinct piece that a worker hasn't met
+lately, many in one text; the ids are put together by numpy. Parts of another form are pieces as a whole, and any other
+tokenizer gets whole texts.
 
 Defined results: null text counts as empty and holds the end id alone; a row gives a row, repeated rows too; further
 columns are ignored; an empty table writes no shard and gives no rows.
@@ -26,6 +28,7 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from itertools import pairwise
 from typing import BinaryIO
 
@@ -37,7 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import narrow, rows_of, shared_path, split_texts, spread, stored, text_slices, without_collector, worker_memory
+from tessella.llm.common import SLICE as WHOLE
+from tessella.llm.common import narrow, rows_of, shared_path, spread, stored, text_slices, without_collector, worker_memory
 
 MAGIC = b"TPK2"
 HEAD = struct.Struct("<4sIQ")
@@ -48,15 +52,21 @@ BLOCK = 4096
 SHARD_BYTES = 24 << 20
 #: Ids that are read at once; shards whose ids are summed by one task.
 READ, SHARDS = 1 << 20, 4096
-#: Parts of texts whose ids a worker remembers, in each of two generations.
-CACHE = 300_000
-#: Characters of the longest part that is remembered.
+#: Bytes of text whose distinct parts are looked up at once: most of a shard's, as a rule.
+SLICE = 16 << 20
+#: Pieces of texts whose ids a worker remembers.
+CACHE = 600_000
+#: Bytes of the longest piece that is remembered.
 LONGEST = 64
+#: Bytes of pieces that the library encodes at once; parts, and ids, that are put together at once.
+JOINED, PARTS, IDS = 1 << 16, 1 << 18, 1 << 20
 END_ID = 2
 #: Splits words from digits, digits from one another and both from other characters: see the tokenizer's file.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A word whose lower case is plain, maybe with a stop or comma.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters whose lower case is plain, and marks that neither begin a contraction nor an added token: "'" and "<" aren't among them.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"
+#: A part that is marks, a word and marks, each of which may be lacking; and one such piece.
+_PLAIN, _PIECE = f"^(?P<before>[{_MARK}]*)(?P<word>[{_LETTER}]*)(?P<behind>[{_MARK}]*)$", f"^([{_LETTER}]+|[{_MARK}]+)$"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -149,6 +159,22 @@ class Shard:
         return np.concatenate([unpack(data[x:y], self.bits, n) for (x, y), n in zip(pairwise(cuts), sizes, strict=True)])[start - a * self.block : stop - a * self.block]
 
 
+def _steps(pieces: pa.Array) -> list[int]:
+    """Where to cut pieces, ends included, so that about JOINED bytes lie between."""
+    ends = np.cumsum(pc.binary_length(pieces).to_numpy(), dtype=np.int64) + np.arange(len(pieces))
+    return [0, *(np.nonzero(np.diff(ends // JOINED))[0] + 1).tolist(), len(pieces)]
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids that begin at each of some starts, a few at a time."""
+    ends, out, at = np.cumsum(sizes), [ids[:0]], 0
+    while at < len(ends):
+        stop = min(at + PARTS, max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + IDS, "right"))))
+        out.append(ids[spread(starts[at:stop], sizes[at:stop])])
+        at = stop
+    return np.concatenate(out)
+
+
 def _system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -167,68 +193,93 @@ class Encoder:
             spec = json.load(file)
         norm = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        added = [t["content"] for t in spec["added_tokens"]]
         self.by_parts = norm == ["NFC", "Replace", "Lowercase"] and split[:1] == [_SPLIT] and spec["post_processor"] is None and not any(" " in t["content"] or t["normalized"] for t in spec["added_tokens"])
+        # no added token may lie within a plain part
+        self.by_parts = self.by_parts and all(re.search(f"[^{_LETTER}{_MARK}]", t) for t in added)
         suffix = spec["model"].get("end_of_word_suffix") or ""
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.vocabulary)])
         self.by_parts = self.by_parts and bool(suffix)
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of plain words, encoded as one text and parted after tokens that end a word."""
-        ids = np.array(self._whole(" ".join(words)), self.kind)
-        ends = (np.nonzero(self.ends_word[ids])[0] + 1) * self.kind.itemsize
-        if len(ends) != len(words):
-            return self._bytes(words)
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """The ids of parts that the young generation lacks; those that aren't long are remembered."""
-        if len(self.known) >= CACHE:
-            self.known, self.old = {"": b""}, self.known
-        known, old = self.known, self.old
-        found = {p: old[p] for p in parts if p in old} if old else {}
-        words, other = {}, []
-        for p in parts.difference(found) if found else parts:
-            if m := _WORD.fullmatch(p):
-                words[p] = m[1].lower(), m[2]
+        #: Bytes of text to encode at once.
+        self.slice = SLICE if self.by_parts else WHOLE
+        # what is remembered: pieces (the first is empty), how many ids each has, and all their ids
+        self.pieces, self.sizes, self.ids = pa.array([""]), np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the texts has by itself, and all ids."""
+        each = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, each), np.int64, len(each)), np.concatenate([np.zeros(0, self.kind), *each])
+
+    def _words(self, words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Plain pieces, many encoded as one text and parted after tokens that end a word."""
+        cuts = _steps(words)
+        for text, (a, b) in zip(pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words), " "), pairwise(cuts), strict=True):
+            ids = np.array(self.tokenizer.encode_batch_fast([text.as_py()], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.nonzero(self.ends_word[ids])[0] + 1
+            if len(ends) == b - a and (a == b or ends[-1] == len(ids)):
+                yield np.diff(ends, prepend=0), ids
             else:
-                other.append(p)
-        stems = {w for w, _ in words.values()} | {".", ","}
-        stem = {w: i for w in stems if (i := known.get(w)) is not None or (i := old.get(w)) is not None}
-        new = list(stems.difference(stem, ".,"))
-        stem |= zip(new, self._words(new), strict=True)
-        ask = [*other, *{".", ","}.difference(stem)]
-        asked = dict(zip(ask, self._bytes(ask), strict=True))
-        stem |= asked
-        found |= stem
-        found |= asked
-        found |= {p: stem[w] + stem[stop] if stop else stem[w] for p, (w, stop) in words.items()}
-        known.update({p: i for p, i in found.items() if len(p) <= LONGEST})
-        return found
+                yield self._each(words[a:b].to_pylist())
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of some unknown pieces has, and all ids."""
+        plain = pc.match_substring_regex(pieces, _PIECE)
+        found = list(self._words(pieces.filter(plain)))
+        other = pieces.filter(pc.invert(plain))
+        found += [self._each(other[a:b].to_pylist()) for a, b in pairwise(_steps(other))]
+        got = np.concatenate([np.zeros(0, np.int64), *(n for n, _ in found)])
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        sizes, starts = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        sizes[order], starts[order] = got, np.cumsum(got) - got
+        return sizes, _gather(np.concatenate([np.zeros(0, self.kind), *(x for _, x in found)]), starts, sizes)
+
+    def _known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of pieces, how many ids each code stands for, and the ids of all codes; unknown pieces are learnt."""
+        coded = pa.concat_arrays([self.pieces, pieces]).dictionary_encode()
+        every, codes = coded.dictionary, coded.indices.to_numpy()[len(self.pieces) :]
+        sizes, ids = self._learn(every[len(self.pieces) :])
+        sizes, ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        kept = pc.binary_length(every).to_numpy() <= LONGEST
+        if len(every) > CACHE:  # what these texts don't have is forgotten
+            used = np.zeros(len(every), bool)
+            used[codes] = used[0] = True
+            kept &= used
+            kept &= np.cumsum(kept) <= CACHE
+        if kept.all():
+            self.pieces, self.sizes, self.ids = every, sizes, ids
+        else:
+            self.pieces, self.sizes, self.ids = every.filter(pa.array(kept)), sizes[kept], ids[np.repeat(kept, sizes)]
+        return codes, sizes, ids
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of some parts of texts has, and all ids."""
+        cut = pc.extract_regex(parts, _PLAIN)  # null for a part of another form, which is a piece as it is
+        before, behind = (pc.fill_null(pc.struct_field(cut, k), "") for k in (0, 2))
+        word = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, 1)), parts)
+        codes, sizes, ids = self._known(pa.concat_arrays([before, word, behind]))
+        codes = codes.reshape(3, -1).T
+        each = sizes[codes]
+        return each.sum(axis=1), _gather(ids, (np.cumsum(sizes) - sizes)[codes.ravel()], each.ravel())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has, and all ids, one text after another; null texts count as empty."""
         if not self.by_parts:
-            each = self._bytes([t or "" for t in texts.to_pylist()])
-            return np.array([len(x) // self.kind.itemsize for x in each], np.int64), np.frombuffer(b"".join(each), self.kind)
-        codes, parts, ends = split_texts(pc.replace_substring(texts, "\n", " "), " ")
-        ids = list(map(self.known.get, parts))
-        if lacking := {p for p, i in zip(parts, ids, strict=True) if i is None}:
-            found = self._learn(lacking)
-            ids = [found[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        each = sizes[codes]
-        upto = np.concatenate([[0], np.cumsum(each)])[ends]
-        return np.diff(upto, prepend=0), flat[spread((np.cumsum(sizes) - sizes)[codes], each)]
+            return self._each([t or "" for t in texts.to_pylist()])
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        codes, ends = coded.indices.to_numpy(), cut.offsets.to_numpy()
+        ends = (ends[1:] - ends[0]).astype(np.int64)
+        del cut
+        sizes, ids = self._parts(coded.dictionary)
+        starts, upto, out, n = np.cumsum(sizes) - sizes, np.zeros(len(ends), np.int64), [ids[:0]], 0
+        for at in range(0, len(codes), PARTS):
+            some = codes[at : at + PARTS]
+            each = sizes[some]
+            a, b = np.searchsorted(ends, [at, at + PARTS], "right")  # texts that end here
+            upto[a:b] = n + np.cumsum(each)[ends[a:b] - at - 1]
+            out.append(_gather(ids, starts[some], each))
+            n += len(out[-1])
+        return np.diff(upto, prepend=0), np.concatenate(out)
 
 
 def encoder_of(path: str) -> Encoder:
@@ -236,6 +287,19 @@ def encoder_of(path: str) -> Encoder:
     return worker_memory(("words", path), lambda: Encoder(path))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to ``size`` bytes or more: texts are short, and Spark's batches bounded in rows."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, held_bytes = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _shard_count(docs: DataFrame) -> int:
     """About SHARD_BYTES of text for each shard, by a pass over the texts' lengths."""
     size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1), F.lit(0))).first()[0]
@@ -258,7 +322,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
         name = f"{folder}/shard-{context.partitionId():07d}.tpk"
         own, writer = f"{name}.{context.taskAttemptId()}", None
         with without_collector():
-            for batch in text_slices(batches, 1):
+            for batch in text_slices(gathered(batches, encoder.slice), 1, encoder.slice):
                 if writer is None:
                     system.create_dir(folder, recursive=True)
                     writer = ShardWriter(system.open_output_stream(own), bits)

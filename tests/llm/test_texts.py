@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -104,6 +105,69 @@ def test_parts_are_whole_texts(text):
 ENCODER = token_pack.Encoder(WORDS)
 
 
+def whole(texts):
+    """Lengths and ids of whole texts, by the library."""
+    each = [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    return list(map(len, each)), sum(each, [])
+
+
+class Asked:
+    """The library's tokenizer, and what it was asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_the_library_gets_each_word_and_each_run_of_marks_once():
+    e = token_pack.Encoder(WORDS)
+    e.tokenizer = asked = Asked(e.tokenizer)
+    marks, words = ["", "(", '"', "***", ".&&&", "[\\]"], ["Word", "wörter", "ÉTÉ", *(f"x{chr(97 + i)}y" for i in range(26))]
+    texts = [f"{a}{w.upper() if i % 2 else w}{b}" for w in words for i, a in enumerate(marks) for b in marks]
+    rows = [" ".join(texts[k::9]) for k in range(9)]
+    for _ in range(2):
+        lengths, ids = e.encode(pa.array(rows))
+        assert (lengths.tolist(), ids.tolist()) == whole(rows)
+    pieces = " ".join(asked.texts).split()
+    assert len(asked.texts) <= 4 and sorted(pieces) == sorted({w.lower() for w in words} | set(marks) - {""})
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    for name, value in (("CACHE", 40), ("PARTS", 7), ("IDS", 5), ("JOINED", 30)):
+        monkeypatch.setattr(token_pack, name, value)
+    e = token_pack.Encoder(WORDS)
+    for k in range(5):
+        texts = ["y" * 100 + "! don't <|endoftext|> 3.5", "", " ".join(f"W{chr(97 + (k * 9 + i) % 26)}o, w{i}" for i in range(30)), "\n  the end  ", "<|startoftext|>"]
+        lengths, ids = e.encode(pa.array(texts))
+        assert (lengths.tolist(), ids.tolist()) == whole(texts)
+        known = e.pieces.to_pylist()
+        assert known[0] == "" and 10 < len(known) <= 40 and max(map(len, known)) <= token_pack.LONGEST and e.sizes.sum() == len(e.ids)
+    assert [len(x) for x in e.encode(pa.array([], pa.string()))] == [0, 0]
+    # a piece that is a whole text by itself has no other ids among others
+    lengths, ids = e.encode(pa.array([" ".join(known)]))
+    assert ids.tolist() == whole([" ".join(known)])[1]
+
+
+def test_an_added_token_like_a_word_is_found(tmp_path):
+    spec = json.loads(open(WORDS, encoding="utf-8").read())
+    spec["added_tokens"].append({**spec["added_tokens"][-1], "id": 49408, "content": "Hello."})
+    path = tmp_path / "added.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    e = token_pack.Encoder(str(path))
+    assert not e.by_parts and e.encode(pa.array(["Say Hello. now"], pa.large_string()))[1].tolist() == e.tokenizer.encode("Say Hello. now", add_special_tokens=False).ids
+    assert ENCODER.by_parts and ENCODER.encode(pa.array(["Say Hello. now", None], pa.large_string()))[1].tolist() == whole(["Say Hello. now"])[1]
+
+
+def test_short_batches_are_gathered():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["x" * 100]}) for i in range(50)]
+    got = list(token_pack.gathered(iter(batches), 1000))
+    assert len(got) <= 6 and [i for b in got for i in b.column(0).to_pylist()] == list(range(50))
+    assert list(token_pack.gathered(iter([]), 1000)) == []
+
+
 def test_shards(spark):
     df = docs(spark, TEXTS * 3)
     tok = Tokenizer.from_file(WORDS)
